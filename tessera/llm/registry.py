@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, quality_classifier, quality_rules
+from . import bpe, line_dedup, packing, quality_classifier, quality_rules
 from .runtime import fold
 
 
@@ -23,6 +23,15 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.dedup(docs).select("doc_id", "n_lines", "n_deleted", "deleted", "text")
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality_rules.annotate(docs).select("doc_id", *quality_rules.COLUMNS)
@@ -35,5 +44,5 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op7_quality_rules": op7_quality_rules, "op10_quality_classifier": op10_quality_classifier}
+QUERIES = {"op1_bpe": op1_bpe, "op2_line_dedup": op2_line_dedup, "op3_packing": op3_packing, "op7_quality_rules": op7_quality_rules, "op10_quality_classifier": op10_quality_classifier}
 ORACLE: dict[str, str] = {}
