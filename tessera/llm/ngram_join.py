@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from . import textblocks as tb
 from .components import components
-from .runtime import materialise, prepare
+from .runtime import drop_materialised, materialise, prepare
 
 TOKEN_BITS = 48
 MOST_ROWS = 1 << 15
@@ -357,6 +357,8 @@ def similar(docs: DataFrame, n: int = 3, share: int = 70, whole: int = 100, text
     names = joined.groupBy("root").agg(F.min("least_id").alias("component_id"))
     joined = joined.join(names, "root").select("key", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_similar"), "component_id", "copies")
     joined = materialise(joined)
+    for done in (live, pairs, groups, classes, found):
+        drop_materialised(done)
     # Classes of at least count / 20,000 rows are at most 20,000: a proven bound for the broadcast.
     hot_at = max(1000, count // 20_000)
     big = F.broadcast(joined.where(F.col("copies") >= hot_at)).alias("big")

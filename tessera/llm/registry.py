@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, line_dedup, ngram_join, packing, quality_classifier, quality_rules
+from . import bpe, embedding_dedup, line_dedup, ngram_join, packing, quality_classifier, quality_rules
 from .runtime import fold
 
 
@@ -37,6 +37,10 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.annotate(docs).select("doc_id", *quality_rules.COLUMNS)
 
 
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar(_table(spark, sf_dir, "documents"))
 
@@ -48,5 +52,5 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_line_dedup": op2_line_dedup, "op3_packing": op3_packing, "op7_quality_rules": op7_quality_rules, "op9_ngram_join": op9_ngram_join, "op10_quality_classifier": op10_quality_classifier}
+QUERIES = {"op1_bpe": op1_bpe, "op2_line_dedup": op2_line_dedup, "op3_packing": op3_packing, "op7_quality_rules": op7_quality_rules, "op8_embedding_dedup": op8_embedding_dedup, "op9_ngram_join": op9_ngram_join, "op10_quality_classifier": op10_quality_classifier}
 ORACLE: dict[str, str] = {}
