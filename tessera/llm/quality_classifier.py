@@ -145,13 +145,13 @@ def fit(rows: list[np.ndarray], y: np.ndarray, bits: int = BITS) -> Model:
     return Model((w[:-1] * ratio).astype(np.float32), (ratio**2).astype(np.float32), float(w[-1]), slope, offset, bits)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most_rows: int, allowed=None) -> DataFrame:
-    """(doc_id, y, text) of at most ``most_rows`` labelled documents, chosen by a hash of the id."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most_rows: int, allowed=None, among=F.min) -> DataFrame:
+    """(doc_id, y, text) of at most ``most_rows`` labelled documents, chosen by a hash of the id; ``among`` settles repeated labels."""
     chosen = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull())
     if allowed is not None:
         chosen = chosen.where(allowed)
     chosen = chosen.select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("_y")).orderBy(F.xxhash64("_id"), "_id", "_y").limit(most_rows)
-    chosen = chosen.groupBy("_id").agg(F.min("_y").alias("y"))
+    chosen = chosen.groupBy("_id").agg(among("_y").alias("y"))
     return docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("doc_id", "y", "text")
 
 

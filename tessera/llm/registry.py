@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embedding_dedup, line_dedup, ngram_join, packing, quality_classifier, quality_rules
+from . import bpe, embedding_dedup, language_id, line_dedup, ngram_join, packing, quality_classifier, quality_rules, toxicity
 from .runtime import fold
 
 
@@ -32,6 +32,19 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    net = toxicity.train(docs, _table(spark, sf_dir, "labels"), allowed=fold("doc_id", 5) != 0)
+    scored = toxicity.score(docs.select("doc_id", "text"), net)
+    return scored.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    net = language_id.train(docs, fold("doc_id", 4) != 2)
+    return language_id.predict(docs.select("doc_id", "text"), net).select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality_rules.annotate(docs).select("doc_id", *quality_rules.COLUMNS)
@@ -52,5 +65,5 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_line_dedup": op2_line_dedup, "op3_packing": op3_packing, "op7_quality_rules": op7_quality_rules, "op8_embedding_dedup": op8_embedding_dedup, "op9_ngram_join": op9_ngram_join, "op10_quality_classifier": op10_quality_classifier}
+QUERIES = {"op1_bpe": op1_bpe, "op2_line_dedup": op2_line_dedup, "op3_packing": op3_packing, "op4_toxicity": op4_toxicity, "op5_language_id": op5_language_id, "op7_quality_rules": op7_quality_rules, "op8_embedding_dedup": op8_embedding_dedup, "op9_ngram_join": op9_ngram_join, "op10_quality_classifier": op10_quality_classifier}
 ORACLE: dict[str, str] = {}
