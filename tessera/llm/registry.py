@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embedding_dedup, language_id, line_dedup, ngram_join, packing, quality_classifier, quality_rules, toxicity
+from . import bpe, embedding_dedup, language_id, line_dedup, lm_scoring, ngram_join, packing, quality_classifier, quality_rules, toxicity
 from .runtime import fold
 
 
@@ -45,6 +45,13 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs.select("doc_id", "text"), net).select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model, counts = lm_scoring.fit(docs.where(fold("doc_id", 5) != 1))
+    scored = lm_scoring.score(docs, model, counts)
+    return scored.select("doc_id", (fold("doc_id", 5) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality_rules.annotate(docs).select("doc_id", *quality_rules.COLUMNS)
@@ -65,5 +72,5 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_line_dedup": op2_line_dedup, "op3_packing": op3_packing, "op4_toxicity": op4_toxicity, "op5_language_id": op5_language_id, "op7_quality_rules": op7_quality_rules, "op8_embedding_dedup": op8_embedding_dedup, "op9_ngram_join": op9_ngram_join, "op10_quality_classifier": op10_quality_classifier}
+QUERIES = {"op1_bpe": op1_bpe, "op2_line_dedup": op2_line_dedup, "op3_packing": op3_packing, "op4_toxicity": op4_toxicity, "op5_language_id": op5_language_id, "op6_lm_scoring": op6_lm_scoring, "op7_quality_rules": op7_quality_rules, "op8_embedding_dedup": op8_embedding_dedup, "op9_ngram_join": op9_ngram_join, "op10_quality_classifier": op10_quality_classifier}
 ORACLE: dict[str, str] = {}
