@@ -95,7 +95,7 @@ def _unplanes(raw: bytes, n: int, width: int) -> np.ndarray:
 
 
 def _first_pass(docs: DataFrame, text: str, n: int) -> DataFrame:
-    """Rows (kind 0: doc_id, size, key) and (kind 1: token, local frequency) of locally frequent shingles."""
+    """Rows (kind 0: doc_id, version, size, key) and (kind 1: token, local frequency) of locally frequent shingles."""
     kind = docs.schema["doc_id"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,13 +110,13 @@ def _first_pass(docs: DataFrame, text: str, n: int) -> DataFrame:
                 count = np.diff(np.append(start, len(tokens)))
                 hot = count >= max(16, batch.num_rows // 400)
                 m, k = batch.num_rows, int(hot.sum())
-                ids = pa.concat_arrays([batch.column("doc_id"), pa.nulls(k, batch.column("doc_id").type)])
+                ids, version = (pa.concat_arrays([batch.column(c), pa.nulls(k, batch.column(c).type)]) for c in ("doc_id", "version"))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat([0, 1], [m, k]), pa.int32()), ids, pa.array(np.concatenate([size, count[hot]]), pa.int64()), pa.array(np.concatenate([key.astype(np.int64), tokens[start][hot].astype(np.int64)]))],
-                    ["kind", "doc_id", "size", "key"],
+                    [pa.array(np.repeat([0, 1], [m, k]), pa.int32()), ids, version, pa.array(np.concatenate([size, count[hot]]), pa.int64()), pa.array(np.concatenate([key.astype(np.int64), tokens[start][hot].astype(np.int64)]))],
+                    ["kind", "doc_id", "version", "size", "key"],
                 )
 
-    return docs.select("doc_id", text).mapInArrow(run, f"kind int, doc_id {kind.simpleString()}, size long, key long")
+    return docs.select("doc_id", F.xxhash64(text).alias("version"), text).mapInArrow(run, f"kind int, doc_id {kind.simpleString()}, version long, size long, key long")
 
 
 def _blocks_of(docs: DataFrame, text: str, n: int, ranges: int, hot: np.ndarray) -> DataFrame:
@@ -315,11 +315,11 @@ def _join_group(share: int, whole: int):
 
 
 def similar(docs: DataFrame, n: int = 3, share: int = 70, whole: int = 100, text: str = "text", most_hot: int = 200_000, block: int = 2000, range_rows: int = 1_000_000) -> DataFrame:
-    """(doc_id, n_shingles, n_similar, component_id) of every row; sets link when whole * intersection >= share * union."""
+    """(doc_id, version, n_shingles, n_similar, component_id) of every row; ``version`` is xxhash64 of the text; sets link when whole * intersection >= share * union."""
     spark = docs.sparkSession
     prepare(spark)
     first = materialise(_first_pass(docs, text, n))
-    rows = first.where("kind = 0").select("doc_id", F.col("size").alias("n_shingles"), "key")
+    rows = first.where("kind = 0").select("doc_id", "version", F.col("size").alias("n_shingles"), "key")
     count, total = rows.agg(F.count("*"), F.coalesce(F.sum("n_shingles"), F.lit(0))).first()
     # Bounded by most_hot; only the order of shingles depends on it, never a result.
     hot_rows = first.where("kind = 1").groupBy("key").agg(F.sum("size").alias("df")).where(F.col("df") >= max(64, count // 2000)).orderBy(F.desc("df"), "key").limit(most_hot).collect()
@@ -367,4 +367,19 @@ def similar(docs: DataFrame, n: int = 3, share: int = 70, whole: int = 100, text
     # Empty sets and rows that the broadcast has served get a key of their own, so that they don't meet in one task.
     out = out.withColumn("key", F.when(F.col("_n").isNull() & (F.col("n_shingles") > 0), F.col("key")).otherwise(F.xxhash64("doc_id", "key"))).join(small, "key", "left")
     served = F.col("_n").isNotNull()
-    return out.select("doc_id", "n_shingles", F.when(served, F.col("_n")).otherwise(F.coalesce("n_similar", F.lit(0))).cast("long").alias("n_similar"), F.when(served, F.col("_c")).otherwise(F.coalesce("component_id", "doc_id")).alias("component_id"))
+    return out.select("doc_id", "version", "n_shingles", F.when(served, F.col("_n")).otherwise(F.coalesce("n_similar", F.lit(0))).cast("long").alias("n_similar"), F.when(served, F.col("_c")).otherwise(F.coalesce("component_id", "doc_id")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, found: DataFrame, text: str = "text") -> DataFrame:
+    """``docs`` without all but one document (the smallest id, then version) of each group that ``similar`` found.
+
+    Repeated rows with equal id and text are one document, of which one row stays.
+    """
+    found = materialise(found.select("doc_id", "version", "component_id"))
+    # Documents with equal ids and texts are the only repetition left after the choice.
+    again = found.groupBy("doc_id", "version").count().where("count > 1").limit(1).count()
+    kept = found.groupBy("component_id").agg(F.min(F.struct("doc_id", "version")).alias("k")).select(F.col("k.doc_id").alias("_d"), F.col("k.version").alias("_v"))
+    out = docs.withColumn("_version", F.xxhash64(text)).join(kept, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_version") == F.col("_v")), "left_semi")
+    if again:
+        out = out.dropDuplicates(["doc_id", "_version"])
+    return out.drop("_version")
