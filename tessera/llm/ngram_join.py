@@ -42,7 +42,8 @@ from .components import components
 from .runtime import drop_materialised, materialise, prepare
 
 TOKEN_BITS = 48
-MOST_ROWS = 1 << 15
+#: Rows whose shingles a worker holds at once; their numbers take 16 bits in the blocks.
+MOST_ROWS = 1 << 12
 
 
 def shingle_sets(data: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
