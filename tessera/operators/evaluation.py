@@ -42,7 +42,8 @@ def retrieve(queries: DataFrame, chunks: DataFrame, k: int = 5) -> DataFrame:
     """
     q = queries.select("query_id", F.explode(F.array_distinct(word_array(F.lower("query")))).alias("word"))
     words = F.array_distinct(word_array(F.lower("content")))
-    c = chunks.select("id", F.size(words).alias("n"), F.explode(words).alias("word"))
+    # The outer explode makes the words a column: else they would be split again for every exploded row.
+    c = chunks.select("id", F.explode(F.array(words)).alias("_w")).select("id", F.size("_w").alias("n"), F.explode("_w").alias("word"))
     scored = c.join(F.broadcast(q) if _small(queries) else q, "word").groupBy("query_id", "id").agg((F.count("*") / F.first("n")).alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

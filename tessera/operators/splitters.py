@@ -39,8 +39,10 @@ def windows(text: Column, size: int) -> Column:
 
 
 def _chunks(docs: DataFrame, pieces: Column, splitter: str, granularity: str, hierarchy: Column | None = None, level: int = 0) -> DataFrame:
-    own = docs.select("doc_id", F.coalesce("language", F.lit("unknown")).alias("language") if "language" in docs.columns else F.lit("unknown").alias("language"), pieces.alias("_p"))
-    rows = own.select("doc_id", "language", F.size("_p").alias("total_chunks"), F.posexplode("_p").alias("chunk_index", "content"))
+    spoken = F.coalesce("language", F.lit("unknown")) if "language" in docs.columns else F.lit("unknown")
+    # One row from the outer explode: it makes the pieces a column, computed once.
+    own = docs.select("doc_id", spoken.alias("_language"), F.explode(F.array(pieces)).alias("_p"))
+    rows = own.select("doc_id", F.col("_language").alias("language"), F.size("_p").alias("total_chunks"), F.posexplode("_p").alias("chunk_index", "content"))
     return rows.select(
         chunk_id(F.col("doc_id"), splitter, F.lit(level), F.col("chunk_index")).alias("id"),
         "doc_id",

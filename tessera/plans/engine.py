@@ -12,7 +12,7 @@ from ..functions import vectors as V
 from ..operators import evaluation, hierarchy, ingestion, ivfpq, knn, metadata_index, splitters, text_metadata
 from ..operators.worker import shared_dir
 from ..sources import Catalog, WriteConfig
-from . import pruning as P
+from ..sources import pruning as P
 from .tables import table
 
 Q: dict = {}

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from ..functions.vectors import register as register_vectors
 from ..sources.catalog import Catalog
-from .pruning import Predicate
+from ..sources.pruning import Predicate
 
 _CREATE = re.compile(r"\s*create\s+table\s+(if\s+not\s+exists\s+)?(\w+)\s*\((.*)\)\s*;?\s*$", re.I | re.S)
 _DROP = re.compile(r"\s*drop\s+table\s+(if\s+exists\s+)?(\w+)\s*;?\s*$", re.I)
