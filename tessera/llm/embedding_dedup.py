@@ -182,7 +182,8 @@ def near_duplicates(
     for r in places:
         met[r.place] = r.n
     share = np.cumsum(met) / max(met.sum(), 1)
-    visits = int(min(max(4, np.searchsorted(share, target_recall) + 1), most))
+    # Without any true neighbour to measure by, a fixed number of visits.
+    visits = int(min(max(4, np.searchsorted(share, target_recall) + 1) if met.sum() else 16, most))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grid, _, _ = sent.value

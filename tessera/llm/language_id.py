@@ -156,13 +156,13 @@ def labelled_windows(docs: DataFrame, allowed, label: str, text: str, each: int,
     return np.concatenate(parts) if parts else np.empty((0, WINDOW), np.uint8), y.astype(np.int64), names
 
 
-def train(docs: DataFrame, allowed=None, label: str = "lang", text: str = "text", each: int = 800, most: int = 6000) -> Network:
-    """A network fitted on about ``each`` texts a language, at most ``most``."""
+def train(docs: DataFrame, allowed=None, label: str = "lang", text: str = "text", each: int = 800, most: int = 6000, steps: int = 1500) -> Network:
+    """A network fitted on about ``each`` texts a language, at most ``most``, in ``steps`` batches."""
     prepare(docs.sparkSession)
     x, y, names = labelled_windows(docs, allowed, label, text, each, most)
     net = Network(names or [UNKNOWN])
     if len(names) > 1:
-        net.train(x, y)
+        net.train(x, y, steps)
     return net
 
 

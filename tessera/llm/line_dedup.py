@@ -161,25 +161,27 @@ def dedup(docs: DataFrame, min_words: int = 8, text: str = "text") -> DataFrame:
     """``docs`` with the deleted blocks cut out of ``text``, and ``n_lines``, ``n_deleted`` and ``deleted`` (line numbers)."""
     spark = docs.sparkSession
     prepare(spark)
-    lost = deletions(docs, min_words, text).withColumnsRenamed({"doc_id": "_d", "version": "_v", "places": "_places"})
+    lost = deletions(docs, min_words, text)
     added = {"n_lines": pa.int64(), "n_deleted": pa.int64(), "deleted": pa.list_(pa.int32())}
     base = docs.select(*[c for c in docs.columns if c not in added])
-    joined = base.join(lost, (F.col("doc_id") == F.col("_d")) & (F.xxhash64(text) == F.col("_v")), "left").drop("_d", "_v")
+    # The columns travel in a struct, so that no name of theirs can clash with one of the join's.
+    packed = base.select(F.struct(*base.columns).alias("row"), F.col("doc_id"), F.xxhash64(text).alias("version"))
+    joined = packed.join(lost, ["doc_id", "version"], "left").select("row", "places")
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema), "n_lines long, n_deleted long, deleted array<int>"])
     names = base.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column = batch.column(text)
-            places, new, n_lines, n_deleted = batch.column("_places").to_pylist(), [], [], []
-            for t, gone in zip(column.to_pylist(), places):
+            columns = dict(zip(names, batch.column("row").flatten()))
+            places, new, n_lines, n_deleted = batch.column("places").to_pylist(), [], [], []
+            for t, gone in zip(columns[text].to_pylist(), places):
                 n_lines.append(t.count("\n") + 1 if t else 0)
                 n_deleted.append(len(gone) if gone else 0)
                 if gone:
                     drop = set(gone)
                     t = "\n".join(x for i, x in enumerate(t.split("\n")) if i not in drop)
                 new.append(t)
-            arrays = [pa.array(new, column.type) if c == text else batch.column(c) for c in names]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array(n_lines, pa.int64()), pa.array(n_deleted, pa.int64()), pa.array([p or [] for p in places], pa.list_(pa.int32()))], [*names, *added])
+            columns[text] = pa.array(new, columns[text].type)
+            yield pa.RecordBatch.from_arrays([*columns.values(), pa.array(n_lines, pa.int64()), pa.array(n_deleted, pa.int64()), pa.array([p or [] for p in places], pa.list_(pa.int32()))], [*names, *added])
 
     return joined.mapInArrow(run, schema)

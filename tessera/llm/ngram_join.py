@@ -379,8 +379,12 @@ def one_of_each(docs: DataFrame, found: DataFrame, text: str = "text") -> DataFr
     found = materialise(found.select("doc_id", "version", "component_id"))
     # Documents with equal ids and texts are the only repetition left after the choice.
     again = found.groupBy("doc_id", "version").count().where("count > 1").limit(1).count()
-    kept = found.groupBy("component_id").agg(F.min(F.struct("doc_id", "version")).alias("k")).select(F.col("k.doc_id").alias("_d"), F.col("k.version").alias("_v"))
-    out = docs.withColumn("_version", F.xxhash64(text)).join(kept, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_version") == F.col("_v")), "left_semi")
+    # Rows without an id link with others, but do not stand for one group.
+    alone = F.when(F.col("component_id").isNull(), F.col("version"))
+    kept = found.groupBy("component_id", alone.alias("alone")).agg(F.min(F.struct("doc_id", "version")).alias("k")).select(F.col("k.doc_id").alias("d"), F.col("k.version").alias("v"))
+    # The columns travel in a struct, so that no name of theirs can clash.
+    packed = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("d0"), F.xxhash64(text).alias("v0"))
+    out = packed.join(kept, F.col("d0").eqNullSafe(F.col("d")) & (F.col("v0") == F.col("v")), "left_semi")
     if again:
-        out = out.dropDuplicates(["doc_id", "_version"])
-    return out.drop("_version")
+        out = out.dropDuplicates(["d0", "v0"])
+    return out.select("row.*")

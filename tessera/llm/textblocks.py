@@ -20,6 +20,8 @@ SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+#: Bytes whose hash powers are tabulated at once.
+SEGMENT = 1 << 22
 #: Bytes that begin a code point.
 LEAD = (np.arange(256) & 0xC0) != 0x80
 
@@ -98,6 +100,15 @@ def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.nda
     """64-bit hashes of byte spans, after ``table`` if given; equal bytes hash alike wherever they stand."""
     if not len(starts):
         return np.empty(0, U)
+    if len(data) > SEGMENT and len(starts) > 1:
+        # Spans come in order: take those of one stretch at a time, so that a very long text needs no longer tables.
+        out, i = [], 0
+        while i < len(starts):
+            j = max(i + 1, int(np.searchsorted(starts, starts[i] + SEGMENT)))
+            part = data[starts[i] : int(ends[i:j].max())]
+            out.append(hashes(part, starts[i:j] - starts[i], ends[i:j] - starts[i], table) if len(part) <= SEGMENT or j == i + 1 else np.concatenate([hashes(data[a:b], np.zeros(1, np.int64), np.array([b - a]), table) for a, b in zip(starts[i:j].tolist(), ends[i:j].tolist())]))
+            i = j
+        return np.concatenate(out)
     power, inverse = _powers_to(len(data) + 1)
     value = ((table[data] if table is not None else data).astype(U) + U(1)) * power[: len(data)]
     total = np.zeros(len(data) + 1, U)
