@@ -9,19 +9,26 @@ from .text_metadata import word_array
 
 
 def jaccard(a: Column, b: Column) -> Column:
-    """Common over all distinct words; 0 when there are none."""
-    union = F.size(F.array_union(a, b))
-    return F.when(union == 0, 0.0).otherwise(F.size(F.array_intersect(a, b)) / union)
+    """Common over all elements of two arrays without repetition; 0 when there are none."""
+    common = F.size(F.array_intersect(a, b))
+    union = F.size(a) + F.size(b) - common
+    return F.when(union == 0, 0.0).otherwise(common / union)
 
 
 def internal_coherence(text: Column) -> Column:
     """Mean Jaccard of all pairs of sentences; 1 with fewer than two."""
     trimmed = F.transform(F.split(text, "[.!?]"), lambda s: F.regexp_replace(s, "^[\\s\\p{Z}]+|[\\s\\p{Z}]+$", ""))
-    sets = F.transform(F.filter(trimmed, lambda s: s != ""), lambda s: F.array_distinct(word_array(s)))
-    n = F.size(sets)
-    # For each sentence the overlaps with those after it.
-    sums = F.transform(sets, lambda a, i: F.aggregate(F.slice(sets, i + 2, F.greatest(n - i - 1, F.lit(0))), F.lit(0.0), lambda t, b: t + jaccard(a, b)))
-    return F.when(n < 2, 1.0).otherwise(F.aggregate(sums, F.lit(0.0), lambda t, x: t + x) / (n * (n - 1) / 2))
+    # Words as hashes: set operations on longs are faster than on strings.
+    sets = F.transform(F.filter(trimmed, lambda s: s != ""), lambda s: F.array_distinct(F.transform(word_array(s), lambda w: F.xxhash64(w))))
+
+    def mean(sets: Column) -> Column:
+        n = F.size(sets)
+        # For each sentence the overlaps with those after it.
+        sums = F.transform(sets, lambda a, i: F.aggregate(F.slice(sets, i + 2, F.greatest(n - i - 1, F.lit(0))), F.lit(0.0), lambda t, b: t + jaccard(a, b)))
+        return F.when(n < 2, 1.0).otherwise(F.aggregate(sums, F.lit(0.0), lambda t, x: t + x) / (n * (n - 1) / 2))
+
+    # Bound as a lambda's argument, the sets are computed once for a text.
+    return F.get(F.transform(F.array(sets), mean), F.lit(0))
 
 
 def coherence(chunks: DataFrame, content: str = "content") -> DataFrame:

@@ -34,8 +34,7 @@ def chunk_id(*parts: Column | str) -> Column:
 
 def windows(text: Column, size: int) -> Column:
     """Consecutive windows of ``size`` characters; an empty text has none."""
-    n = F.ceil(F.length(text) / size).cast("int")
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(text, i * size + 1, F.lit(size)))).otherwise(F.array().cast("array<string>"))
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{size}}}"), F.lit(0))  # one walk; substrings would count from the start again each time
 
 
 def _chunks(docs: DataFrame, pieces: Column, splitter: str, granularity: str, hierarchy: Column | None = None, level: int = 0) -> DataFrame:

@@ -2,13 +2,26 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 NAMES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
+_schemas: dict[tuple[str, int], T.StructType] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table of the folder.  The schema of an unchanged local file is read once: inferring it is a job of its own."""
+    path = f"{sf_dir}/{name}.parquet"
+    if not os.path.isfile(path):
+        return spark.read.parquet(path)
+    key = (os.path.realpath(path), os.stat(path).st_mtime_ns)
+    if key not in _schemas:
+        _schemas[key] = spark.read.parquet(path).schema
+    return spark.read.schema(_schemas[key]).parquet(path)
 
 
 def run_sql(spark: SparkSession, sf_dir: str, query: str) -> DataFrame:

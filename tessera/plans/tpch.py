@@ -2,27 +2,27 @@
 
 The tables at hand lack some columns and one table of the full schema; small
 portable CTEs derive them (supply, ship mode, commit and receipt days) from
-keys, the same way in both engines.  Money is summed as decimals, so sums do
-not depend on the order of rows.
+keys, the same way in both engines.  Money is summed in doubles and rounded to
+cents at the end; columns keep their types up to the scan, so that filters are
+pushed into it.
 """
 
 from __future__ import annotations
 
-LI = """li AS (SELECT l_orderkey ok, l_partkey pk, l_suppkey sk, l_linenumber ln, CAST(l_quantity AS DECIMAL(6,2)) qty,
- CAST(l_extendedprice AS DECIMAL(12,2)) price, CAST(l_discount AS DECIMAL(4,2)) disc, CAST(l_tax AS DECIMAL(4,2)) tax,
- CAST(CAST(l_extendedprice AS DECIMAL(12,2)) * (CAST(1 AS DECIMAL(3,2)) - CAST(l_discount AS DECIMAL(4,2))) AS DECIMAL(18,4)) net,
- l_returnflag flag, l_linestatus status, CAST(l_shipdate AS DATE) ship,
+LI = """li AS (SELECT l_orderkey ok, l_partkey pk, l_suppkey sk, l_linenumber ln, l_quantity qty, l_extendedprice price, l_discount disc, l_tax tax,
+ l_extendedprice * (1 - l_discount) net, l_returnflag flag, l_linestatus status, l_shipdate ship,
  CAST((l_orderkey * 7 + l_linenumber * 3) % 61 AS INTEGER) commit_gap, CAST((l_orderkey * 5 + l_linenumber * 11) % 61 AS INTEGER) receipt_gap,
  CASE (l_orderkey * 5 + l_linenumber) % 7 WHEN 0 THEN 'MAIL' WHEN 1 THEN 'SHIP' WHEN 2 THEN 'AIR' WHEN 3 THEN 'REG AIR' WHEN 4 THEN 'RAIL' WHEN 5 THEN 'TRUCK' ELSE 'FOB' END mode,
  CASE (l_orderkey + l_linenumber) % 4 WHEN 0 THEN 'DELIVER IN PERSON' WHEN 1 THEN 'COLLECT COD' WHEN 2 THEN 'NONE' ELSE 'TAKE BACK RETURN' END instruct
  FROM lineitem)"""
-ORD = "od AS (SELECT o_orderkey ok, o_custkey ck, o_orderstatus ostatus, CAST(o_totalprice AS DECIMAL(14,2)) total, CAST(o_orderdate AS DATE) AS oday, o_orderpriority pri FROM orders)"
-SUPPLY = """sup AS (SELECT pk, sk, (pk * 31 + sk * 17) % 9999 + 1 avail, CAST((pk * 7 + sk * 13) % 1000 + 1 AS DECIMAL(8,2)) cost
+ORD = "od AS (SELECT o_orderkey ok, o_custkey ck, o_orderstatus ostatus, o_totalprice total, o_orderdate AS oday, o_orderpriority pri FROM orders)"
+SUPPLY = """sup AS (SELECT pk, sk, (pk * 31 + sk * 17) % 9999 + 1 avail, CAST((pk * 7 + sk * 13) % 1000 + 1 AS DOUBLE) cost
  FROM (SELECT DISTINCT l_partkey pk, l_suppkey sk FROM lineitem) every_pair)"""
 
 
-def money(x: str) -> str:
-    return f"ROUND(CAST({x} AS DOUBLE), 2)"
+def money(x: str, digits: int = 4) -> str:
+    """Sums of products of two cent values have four decimals: rounding to them hides the order of summation only."""
+    return f"ROUND(CAST({x} AS DOUBLE), {digits})"
 
 
 def build(*ctes: str, body: str) -> str:
@@ -32,7 +32,7 @@ def build(*ctes: str, body: str) -> str:
 QUERIES: dict[str, str] = {
     "tpch_q01": build(LI, body=f"""
         SELECT flag, status, {money('SUM(qty)')} AS sum_qty, {money('SUM(price)')} AS sum_price, {money('SUM(net)')} AS sum_net,
-          {money('SUM(net * (CAST(1 AS DECIMAL(3,2)) + tax))')} AS sum_charge, ROUND(CAST(SUM(qty) AS DOUBLE) / COUNT(*), 6) AS avg_qty,
+          {money('SUM(net * (1 + tax))', 2)} AS sum_charge, ROUND(CAST(SUM(qty) AS DOUBLE) / COUNT(*), 6) AS avg_qty,
           ROUND(CAST(SUM(price) AS DOUBLE) / COUNT(*), 6) AS avg_price, ROUND(CAST(SUM(disc) AS DOUBLE) / COUNT(*), 6) AS avg_disc, COUNT(*) AS n
         FROM li WHERE ship <= DATE '2001-08-01' GROUP BY flag, status"""),
     "tpch_q02": build(SUPPLY, body="""
@@ -43,7 +43,7 @@ QUERIES: dict[str, str] = {
             WHERE c2.pk = p_partkey AND s2.s_suppkey = c2.sk AND s2.s_nationkey = n2.n_nationkey AND n2.n_regionkey = r2.r_regionkey AND r2.r_name = 'ASIA')
         ORDER BY balance DESC, n_name, s_name, p_partkey LIMIT 100"""),
     "tpch_q03": build(LI, ORD, body=f"""
-        SELECT od.ok AS orderkey, {money('SUM(net)')} AS revenue, od.oday AS order_day
+        SELECT od.ok AS orderkey, {money('SUM(net)')} AS revenue, CAST(od.oday AS DATE) AS order_day
         FROM customer JOIN od ON c_custkey = ck JOIN li ON li.ok = od.ok
         WHERE c_mktsegment = 'BUILDING' AND od.oday < DATE '1998-03-15' AND ship > DATE '1998-03-15'
         GROUP BY od.ok, od.oday ORDER BY revenue DESC, orderkey LIMIT 10"""),
@@ -66,7 +66,7 @@ QUERIES: dict[str, str] = {
           WHERE ((a.n_regionkey = 1 AND b.n_regionkey = 2) OR (a.n_regionkey = 2 AND b.n_regionkey = 1)) AND ship BETWEEN DATE '1997-01-01' AND DATE '1998-12-31') moved
         GROUP BY from_nation, to_nation, yr"""),
     "tpch_q08": build(LI, ORD, body="""
-        SELECT yr, ROUND(CAST(SUM(CASE WHEN nation = 'NATION_3' THEN net ELSE CAST(0 AS DECIMAL(18,4)) END) AS DOUBLE) / CAST(SUM(net) AS DOUBLE), 6) AS share FROM (
+        SELECT yr, ROUND(CAST(SUM(CASE WHEN nation = 'NATION_3' THEN net ELSE 0.0 END) AS DOUBLE) / CAST(SUM(net) AS DOUBLE), 6) AS share FROM (
           SELECT CAST(EXTRACT(YEAR FROM oday) AS BIGINT) AS yr, net, s.n_name AS nation
           FROM part JOIN li ON pk = p_partkey JOIN supplier ON s_suppkey = sk JOIN od ON od.ok = li.ok JOIN customer ON c_custkey = ck
             JOIN nation c ON c.n_nationkey = c_nationkey JOIN region ON r_regionkey = c.n_regionkey JOIN nation s ON s.n_nationkey = s_nationkey
@@ -95,9 +95,9 @@ QUERIES: dict[str, str] = {
           SELECT c_custkey, COUNT(ok) AS n_orders FROM customer LEFT JOIN od ON ck = c_custkey AND pri NOT LIKE '1-%' GROUP BY c_custkey) per_customer
         GROUP BY n_orders"""),
     "tpch_q14": build(LI, body="""
-        SELECT ROUND(100.0 * CAST(SUM(CASE WHEN p_type LIKE 'PROMO%' THEN net ELSE CAST(0 AS DECIMAL(18,4)) END) AS DOUBLE) / CAST(SUM(net) AS DOUBLE), 6) AS promo_share
+        SELECT ROUND(100.0 * CAST(SUM(CASE WHEN p_type LIKE 'PROMO%' THEN net ELSE 0.0 END) AS DOUBLE) / CAST(SUM(net) AS DOUBLE), 6) AS promo_share
         FROM li JOIN part ON p_partkey = pk WHERE ship >= DATE '1997-09-01' AND ship < DATE '1997-10-01'"""),
-    "tpch_q15": build(LI, "rev AS (SELECT sk, SUM(net) AS earned FROM li WHERE ship >= DATE '1997-01-01' AND ship < DATE '1997-04-01' GROUP BY sk)", body=f"""
+    "tpch_q15": build(LI, "rev AS (SELECT sk, ROUND(SUM(net), 4) AS earned FROM li WHERE ship >= DATE '1997-01-01' AND ship < DATE '1997-04-01' GROUP BY sk)", body=f"""
         SELECT s_suppkey, s_name, {money('earned')} AS earned FROM supplier JOIN rev ON sk = s_suppkey WHERE earned = (SELECT MAX(earned) FROM rev)"""),
     "tpch_q16": build(SUPPLY, body="""
         SELECT p_brand, p_type, p_size, COUNT(DISTINCT sk) AS n_suppliers FROM sup JOIN part ON p_partkey = pk
@@ -107,7 +107,7 @@ QUERIES: dict[str, str] = {
         SELECT ROUND(CAST(SUM(price) AS DOUBLE) / 7.0, 2) AS yearly FROM li JOIN part ON p_partkey = pk
         WHERE p_brand = 'Brand#23' AND p_size < 30 AND qty < (SELECT 0.4 * CAST(SUM(i.qty) AS DOUBLE) / COUNT(*) FROM li i WHERE i.pk = p_partkey)"""),
     "tpch_q18": build(LI, ORD, body=f"""
-        SELECT c_name, c_custkey, od.ok AS orderkey, oday AS order_day, CAST(total AS DOUBLE) AS total, {money('SUM(qty)')} AS units
+        SELECT c_name, c_custkey, od.ok AS orderkey, CAST(oday AS DATE) AS order_day, CAST(total AS DOUBLE) AS total, {money('SUM(qty)')} AS units
         FROM customer JOIN od ON ck = c_custkey JOIN li ON li.ok = od.ok
         WHERE od.ok IN (SELECT ok FROM li GROUP BY ok HAVING SUM(qty) > 300)
         GROUP BY c_name, c_custkey, od.ok, oday, total ORDER BY total DESC, orderkey LIMIT 100"""),
