@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embedding_dedup, language_id, line_dedup, lm_scoring, ngram_join, packing, quality_classifier, quality_rules, toxicity
+from . import bpe, embedding_dedup, language_id, line_dedup, lm_scoring, ngram_join, oracles, packing, quality_classifier, quality_rules, toxicity
 from .runtime import fold
 
 
@@ -78,4 +78,4 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_bpe": op1_bpe, "op2_line_dedup": op2_line_dedup, "op3_packing": op3_packing, "op4_toxicity": op4_toxicity, "op5_language_id": op5_language_id, "op6_lm_scoring": op6_lm_scoring, "op7_quality_rules": op7_quality_rules, "op8_embedding_dedup": op8_embedding_dedup, "op9_ngram_join": op9_ngram_join, "op10_quality_classifier": op10_quality_classifier}
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op7_quality_rules": oracles.RULES, "op8_embedding_dedup": oracles.NEAR_VECTORS, "op9_ngram_join": oracles.NGRAMS}

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 from pathlib import Path
@@ -38,6 +40,8 @@ def materialise(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/t-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if (local := path.removeprefix("file://")).startswith("/"):
+        atexit.register(shutil.rmtree, local, ignore_errors=True)
     return spark.read.schema(df.schema).parquet(path)
 
 
