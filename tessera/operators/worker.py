@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 from pathlib import Path
@@ -31,4 +33,6 @@ def materialise(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read back: cuts lineage and survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/e-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if (local := path.removeprefix("file://")).startswith("/"):
+        atexit.register(shutil.rmtree, local, ignore_errors=True)
     return df.sparkSession.read.schema(df.schema).parquet(path)
