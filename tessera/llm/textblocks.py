@@ -104,7 +104,7 @@ def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.nda
         # Spans come in order: take those of one stretch at a time, so that a very long text needs no longer tables.
         out, i = [], 0
         while i < len(starts):
-            j = max(i + 1, int(np.searchsorted(starts, starts[i] + SEGMENT)))
+            j = max(i + 1, int(np.searchsorted(starts, starts[i] + SEGMENT // 2)))
             part = data[starts[i] : int(ends[i:j].max())]
             out.append(hashes(part, starts[i:j] - starts[i], ends[i:j] - starts[i], table) if len(part) <= SEGMENT or j == i + 1 else np.concatenate([hashes(data[a:b], np.zeros(1, np.int64), np.array([b - a]), table) for a, b in zip(starts[i:j].tolist(), ends[i:j].tolist())]))
             i = j
