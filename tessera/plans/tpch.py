@@ -127,8 +127,8 @@ QUERIES: dict[str, str] = {
         GROUP BY s_name ORDER BY waits DESC, s_name LIMIT 100"""),
     "tpch_q22": build(body="""
         SELECT code, COUNT(*) AS n_customers, ROUND(CAST(SUM(bal) AS DOUBLE), 2) AS balance FROM (
-          SELECT SUBSTRING(c_name FROM LENGTH(c_name) - 1 FOR 2) AS code, CAST(c_acctbal AS DECIMAL(12,2)) AS bal FROM customer
-          WHERE SUBSTRING(c_name FROM LENGTH(c_name) - 1 FOR 2) IN ('13', '31', '23', '29', '30', '18', '17')
+          SELECT SUBSTRING(c_name, CAST(LENGTH(c_name) AS INTEGER) - 1, 2) AS code, CAST(c_acctbal AS DECIMAL(12,2)) AS bal FROM customer
+          WHERE CAST(SUBSTRING(c_name, CAST(LENGTH(c_name) AS INTEGER) - 1, 2) AS INTEGER) IN (11, 19, 24, 28, 35, 42, 57)
             AND c_acctbal > (SELECT CAST(SUM(CAST(c_acctbal AS DECIMAL(12,2))) AS DOUBLE) / COUNT(*) FROM customer WHERE c_acctbal > 0.00)
             AND NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderdate < TIMESTAMP '1995-06-01 00:00:00')) idle
         GROUP BY code"""),
