@@ -13,11 +13,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .knn import nearest
+from .text_metadata import word_array
 
 
 def text_terms(rows: DataFrame, doc_id: str, column: str) -> DataFrame:
     """(term, doc_id): lower-cased words between Unicode blanks, each once for a document."""
-    words = F.filter(F.split(F.lower(F.col(column)), "(?U)\\s+"), lambda w: w != "")
+    words = word_array(F.lower(F.col(column)))
     return rows.select(F.explode(F.array_distinct(words)).alias("term"), F.col(doc_id).alias("doc_id")).distinct()
 
 

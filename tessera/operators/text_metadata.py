@@ -33,8 +33,13 @@ def underlined(text: Column) -> Column:
     return F.transform(pairs, lambda p: p["a"])
 
 
+#: Unicode blanks, listed: faster than the flag that gives \\s this meaning.
+BLANKS = "[\\s\\x0b\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+"
+
+
 def word_array(text: Column) -> Column:
-    return F.filter(F.split(text, "(?U)\\s+"), lambda w: w != "")
+    """Words between Unicode blanks."""
+    return F.filter(F.split(text, BLANKS), lambda w: w != "")
 
 
 def keywords(docs: DataFrame, n: int = 10) -> DataFrame:
