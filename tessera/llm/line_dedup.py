@@ -11,8 +11,12 @@ there can only be a bounded number of them go through a broadcast one.
 
 Each pair is aligned by patience diff: the longest increasing subsequence of
 the places of its common lines is the alignment, and the aligned lines, which
-stand in blocks, are deleted from the later document.  Moved lines outside the
-subsequence and lines of fewer words stay.
+stand in blocks, are deleted from the later document.  With ``extend`` each
+aligned line is carried on, forward and backward, over the neighbouring lines
+of any length, blank ones too, that are equal in both documents (trimmed of
+blanks), and a document with evidence is paired with the first one of its whole
+text as well, so that an exact copy loses every line.  Moved lines outside the
+subsequence stay, and so do lines of fewer words that no block reaches.
 
 Edge cases: null and empty texts have no lines and stay as they are; a null id
 is kept and never compared; repeated rows (equal id and text) are one document
@@ -78,8 +82,41 @@ def evidence(data: np.ndarray, at: np.ndarray, min_words: int) -> tuple[np.ndarr
     return owner, place, np.where(nth > 0, tb.mix(h + nth.astype(tb.U)), h)
 
 
-def occurrences(docs: DataFrame, min_words: int, text: str = "text") -> DataFrame:
-    """(doc_id, version, place, h) of every evidence line; one narrow pass."""
+def lines(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bounds of each text, hash) of all lines of a block, trimmed of blanks; 0 for blank lines."""
+    n = len(at) - 1
+    s, e, _ = tb.words(data, at)
+    breaks = np.concatenate([[0], np.cumsum(data == 10)])
+    bounds = np.concatenate([[0], np.cumsum(np.diff(breaks[at]) + 1)])
+    out = np.zeros(bounds[-1], np.int64)
+    if len(s):
+        doc = np.searchsorted(at, s, "right") - 1
+        row = bounds[doc] + breaks[s] - breaks[at[:n][doc]]
+        head = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+        tail = np.append(head[1:], len(s)) - 1
+        out[row[head]] = tb.hashes(data, s[head], e[tail]).view(np.int64)
+    return bounds, out
+
+
+def all_lines(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(doc_id, version, lines): the hashes of all lines of every document; one narrow pass."""
+    prepare(docs.sparkSession)
+    rows = docs.where(F.col("doc_id").isNotNull() & (F.length(text) > 0)).select("doc_id", F.xxhash64(text).alias("version"), F.col(text).alias("_text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j, data, at in tb.blocks(batch.column("_text")):
+                bounds, h = lines(data, at)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), batch.column("version").slice(i, j - i), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(h))], ["doc_id", "version", "lines"])
+
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, version long, lines array<long>")
+
+
+def occurrences(docs: DataFrame, min_words: int, text: str = "text", copies: bool = False) -> DataFrame:
+    """(doc_id, version, place, h) of every evidence line; one narrow pass.
+
+    ``copies``: the whole text counts too, at the place of its first evidence line.
+    """
     prepare(docs.sparkSession)
     rows = docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.xxhash64(text).alias("version"), F.col(text).alias("_text"))
 
@@ -87,14 +124,21 @@ def occurrences(docs: DataFrame, min_words: int, text: str = "text") -> DataFram
         for batch in batches:
             for i, j, data, at in tb.blocks(batch.column("_text")):
                 doc, place, h = evidence(data, at, min_words)
+                if copies and len(doc):
+                    head = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
+                    whole = tb.mix(batch.column("version").to_numpy().view(tb.U)[doc[head] + i] + tb.U(1))
+                    doc, place, h = np.concatenate([doc, doc[head]]), np.concatenate([place, place[head]]), np.concatenate([h, whole])
                 take = pa.array(doc + i, pa.int64())
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(take), batch.column("version").take(take), pa.array(place, pa.int32()), pa.array(h.astype(np.int64))], ["doc_id", "version", "place", "h"])
 
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, version long, place int, h long")
 
 
-def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by document, owner and place -> (doc_id, version, places); a document may span batches."""
+def _align(batches: Iterator[pa.RecordBatch], by_pair: bool = False) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by document, owner and place -> (doc_id, version, places); a document may span batches.
+
+    ``by_pair``: (doc_id, version, owner, owner_version, places, owner_places) for each pair.
+    """
     names = ["doc_id", "version", "places"]
 
     def solve(t: pa.Table) -> pa.RecordBatch:
@@ -115,6 +159,12 @@ def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             a, b = int(start[k]), int(end[k])
             keep[a:b] = False
             keep[a + increasing(there[a:b])] = True
+        if by_pair:
+            rows = np.flatnonzero(keep)
+            cut = pa.array(np.searchsorted(rows, np.append(start, len(ids))), pa.int32())
+            take = pa.array(start)
+            own, their = (pa.ListArray.from_arrays(cut, pa.array(x[rows], pa.int32())) for x in (place, there))
+            return pa.RecordBatch.from_arrays([doc_id.take(take), pa.array(version[start]), t.column("owner").combine_chunks().take(take), pa.array(owner_version[start]), own, their], ["doc_id", "version", "owner", "owner_version", "places", "owner_places"])
         group = np.cumsum(new_doc) - 1
         heads = np.flatnonzero(new_doc)
         rows = np.flatnonzero(keep)
@@ -140,9 +190,37 @@ def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield solve(rest)
 
 
-def deletions(docs: DataFrame, min_words: int = 8, text: str = "text") -> DataFrame:
+def extended(places: np.ndarray, there: np.ndarray, lines: np.ndarray, owner_lines: np.ndarray) -> list[int]:
+    """The aligned ``places`` with the lines next to them that are equal in both documents; blocks never cross."""
+    out: list[int] = []
+    p, o, a, b = places.tolist(), there.tolist(), lines.tolist(), owner_lines.tolist()
+    low, low_there = -1, -1  # the last line taken of either document
+    for k, (x, y) in enumerate(zip(p, o)):
+        i, j = x - 1, y - 1
+        while i > low and j > low_there and a[i] == b[j]:
+            i, j = i - 1, j - 1
+        end, end_there = (p[k + 1], o[k + 1]) if k + 1 < len(p) else (len(a), len(b))
+        low, low_there = x, y
+        while low + 1 < end and low_there + 1 < end_there and a[low + 1] == b[low_there + 1]:
+            low, low_there = low + 1, low_there + 1
+        out.extend(range(i + 1, low + 1))
+    return out
+
+
+def _extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Aligned pairs with the lines of both documents -> (doc_id, version, places)."""
+    for batch in batches:
+        columns = []
+        for name in ("places", "owner_places", "lines", "owner_lines"):
+            c = batch.column(name)
+            columns.append((c.offsets.to_numpy(), c.values.to_numpy()))
+        new = [extended(*(v[o[i] : o[i + 1]] for o, v in columns)) for i in range(batch.num_rows)]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("version"), pa.array(new, pa.list_(pa.int32()))], ["doc_id", "version", "places"])
+
+
+def deletions(docs: DataFrame, min_words: int = 8, text: str = "text", extend: bool = False) -> DataFrame:
     """(doc_id, version, places): the line numbers that each later document loses."""
-    rows = materialise(occurrences(docs, min_words, text))
+    rows = materialise(occurrences(docs, min_words, text, copies=extend))
     # The owner is a minimum, combined before the shuffle; lines of one document only drop out.
     owners = rows.groupBy("h").agg(F.min(F.struct("doc_id", "version", "place")).alias("o"), F.max(F.struct("doc_id", "version")).alias("_last"), F.count("*").alias("df"))
     owners = owners.where((F.col("_last.doc_id") != F.col("o.doc_id")) | (F.col("_last.version") != F.col("o.version")))
@@ -154,14 +232,22 @@ def deletions(docs: DataFrame, min_words: int = 8, text: str = "text") -> DataFr
     shared = shared.where((F.col("doc_id") != F.col("owner")) | (F.col("version") != F.col("owner_version")))
     shared = shared.select("doc_id", "version", "owner", "owner_version", "place", "owner_place")
     ordered = shared.repartition("doc_id", "version").sortWithinPartitions("doc_id", "version", "owner", "owner_version", "place", "owner_place")
-    return ordered.mapInArrow(_align, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, version long, places array<int>")
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    if not extend:
+        return ordered.mapInArrow(_align, f"doc_id {kind}, version long, places array<int>")
+    pairs = ordered.mapInArrow(lambda batches: _align(batches, by_pair=True), f"doc_id {kind}, version long, owner {kind}, owner_version long, places array<int>, owner_places array<int>")
+    whole = materialise(all_lines(docs, text).groupBy("doc_id", "version").agg(F.first("lines").alias("lines")))
+    theirs = whole.withColumnsRenamed({"doc_id": "owner", "version": "owner_version", "lines": "owner_lines"})
+    both = pairs.join(whole, ["doc_id", "version"]).join(theirs, ["owner", "owner_version"]).select("doc_id", "version", "places", "owner_places", "lines", "owner_lines")
+    found = both.mapInArrow(_extend, f"doc_id {kind}, version long, places array<int>")
+    return found.groupBy("doc_id", "version").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("places")))).alias("places"))
 
 
-def dedup(docs: DataFrame, min_words: int = 8, text: str = "text") -> DataFrame:
+def dedup(docs: DataFrame, min_words: int = 8, text: str = "text", extend: bool = False) -> DataFrame:
     """``docs`` with the deleted blocks cut out of ``text``, and ``n_lines``, ``n_deleted`` and ``deleted`` (line numbers)."""
     spark = docs.sparkSession
     prepare(spark)
-    lost = deletions(docs, min_words, text)
+    lost = deletions(docs, min_words, text, extend)
     added = {"n_lines": pa.int64(), "n_deleted": pa.int64(), "deleted": pa.list_(pa.int32())}
     base = docs.select(*[c for c in docs.columns if c not in added])
     # The columns travel in a struct, so that no name of theirs can clash with one of the join's.

@@ -30,7 +30,7 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return line_dedup.dedup(docs).select("doc_id", "n_lines", "n_deleted", "deleted", "text")
+    return line_dedup.dedup(docs, extend=True).select("doc_id", "n_lines", "n_deleted", "deleted", "text")
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -195,6 +195,23 @@ def test_line_dedup(spark):
     assert line_dedup.dedup(table(spark, [])).count() == 0
 
 
+def test_line_dedup_extends_blocks(spark):
+    """Short and blank lines between deleted lines go too; an exact copy ends empty, whoever owns its lines."""
+    first = f"Short head\n\n{LINE} a\nshort middle\n\n{LINE} b\nend"
+    mixed = f"top\n{LINE} a\nsmall\n{LINE} b\nlast"
+    rows = [(1, first), (2, first), (3, f"own head\n{LINE} a\nshort middle\nown\n{LINE} b\nend\nown tail"), (4, mixed), (5, mixed), (6, "one two"), (7, "one two"), (8, "one two"), (8, "one two"), (2, first), (9, None)]
+    got = {r.doc_id: r.text for r in line_dedup.dedup(table(spark, rows), extend=True).collect()}
+    assert got == {1: first, 2: "", 3: "own head\nown\nown tail", 4: "top\nsmall\nlast", 5: "", 6: "one two", 7: "one two", 8: "one two", 9: None}
+    base = base_rows(spark)
+    seen, copies = set(), set()
+    for d, t in sorted(base):
+        if t in seen and any(len(brute.words(x)) >= 8 for x in t.split("\n")):
+            copies.add(d)
+        seen.add(t)
+    got = registry.op2_line_dedup(spark, DATA).collect()
+    assert copies and all(r.text == "" and r.n_deleted == r.n_lines for r in got if r.doc_id in copies)
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(0, 20), max_size=25))
 def test_increasing(values):
