@@ -38,19 +38,26 @@ def children(edges: DataFrame, parent: str) -> DataFrame:
     return edges.where(F.col("parent_id") == parent).select("id")
 
 
-def ancestors(edges: DataFrame, most_depth: int = 32) -> DataFrame:
-    """(id, ancestor, depth) by doubling joins: a few rounds for any depth; cycles end at ``most_depth``."""
+def ancestors(edges: DataFrame) -> DataFrame:
+    """(id, ancestor, depth) by doubling joins, until a round finds no new pair; an id has one parent.
+
+    On a cycle each id is met once, itself too.
+    """
     known = materialise(edges.where("parent_id is not null").select("id", F.col("parent_id").alias("ancestor"), F.lit(1).alias("depth")))
-    reach = 1
-    while reach < most_depth:
+    closed = lambda pairs: pairs.where(F.col("id") == F.col("ancestor")).limit(1).count() > 0
+    reach, cyclic = 1, closed(known)
+    while True:
         step = known.where(F.col("depth") == reach).select(F.col("id").alias("_i"), F.col("ancestor").alias("_a"))
         if not step.limit(1).count():
-            break
+            return known
         onward = known.select(F.col("id").alias("_b"), F.col("ancestor").alias("_c"), F.col("depth").alias("_k"))
-        further = step.join(onward, F.col("_a") == F.col("_b")).select(F.col("_i").alias("id"), F.col("_c").alias("ancestor"), (F.col("_k") + reach).alias("depth"))
-        known = known.unionByName(materialise(further))
+        further = materialise(step.join(onward, F.col("_a") == F.col("_b")).select(F.col("_i").alias("id"), F.col("_c").alias("ancestor"), (F.col("_k") + reach).alias("depth")))
+        # A pair is met again only past a cycle, which some id closes by then; such pairs would go round for ever.
+        cyclic = cyclic or closed(further)
+        if cyclic:
+            further = materialise(further.join(known.select("id", "ancestor"), ["id", "ancestor"], "left_anti"))
+        known = known.unionByName(further)
         reach *= 2
-    return known
 
 
 def descendants(edges: DataFrame, root: str) -> DataFrame:

@@ -114,6 +114,16 @@ def test_hierarchy(spark):
     assert hierarchy.potential_parents(d).where("id = 'c'").count() == 3
 
 
+def test_ancestors_of_any_depth(spark):
+    deep = [(i, i + 1) for i in range(70)] + [(70, None)]
+    ring = [(101, 102), (102, 103), (103, 101), (100, 101), (200, 200)]
+    edges = spark.createDataFrame([*deep, *ring], "id long, parent_id long")
+    got = sorted((r.id, r.ancestor, r.depth) for r in hierarchy.ancestors(edges).collect())
+    around = [(100, 101, 1), (100, 102, 2), (100, 103, 3), *((101 + i, 101 + (i + k) % 3, k) for i in range(3) for k in (1, 2, 3)), (200, 200, 1)]
+    assert got == sorted([*((i, j, j - i) for i in range(71) for j in range(i + 1, 71)), *around])
+    assert {r.id: r.depth for r in hierarchy.depths(edges).collect()}[0] == 70 and hierarchy.descendants(edges, 70).count() == 70
+
+
 def test_pipeline(spark):
     made = ingestion.PipelineBuilder().splitter(splitters.HierarchicalSplitter()).hierarchy().embedder(ingestion.mock_embedding).build().run(docs(spark, "x" * 300))
     rows = made.collect()
