@@ -3,9 +3,13 @@
 Two codebooks, one for each half of the vectors, are fitted by k-means on a
 bounded sample; their product is a grid of cells.  Every vector stands in one
 home cell, and visits its nearest cells in the order of the multi-sequence
-traversal.  How many it visits is set by measurement: a few probe vectors are
+traversal.  How many it visits is set by measurement: probe vectors are
 compared with *all* vectors, and the visit count is the least that finds the
-target share of their true neighbours.  In each cell visitors are verified
+target share of their true neighbours, themselves left out, as a mean over
+probes.  More probes are drawn until enough of them have a neighbour; if they
+stay too few, vectors at exactly the least cosine from the sample, in random
+directions, stand in for neighbours: the farthest that a link may be, so that
+closer ones are found at least as often.  In each cell visitors are verified
 against residents in double precision, by blocked matrix products.
 
 Equal vectors form one class and are compared once.  A cell with many visitors
@@ -81,6 +85,11 @@ class Grid:
             out.append(np.take_along_axis(oa[:, i] * b.shape[1] + ob[:, j], first, 1))
         return np.concatenate(out).astype(np.int64)
 
+    def places(self, x: np.ndarray, y: np.ndarray, most: int) -> np.ndarray:
+        """At which place of its sequence each ``x`` meets the home of its ``y``; ``most`` if at none."""
+        hit = self.visits(x, most) == self.visits(y, 1)
+        return np.where(hit.any(axis=1), hit.argmax(axis=1), most)
+
     @property
     def cells(self) -> int:
         return len(self.left) * len(self.right)
@@ -97,6 +106,13 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return out
 
 
+def at_cosine(x: np.ndarray, cosine: float, seed: int = 4) -> np.ndarray:
+    """Unit vectors in random directions at ``cosine`` from the unit vectors ``x``."""
+    z = np.random.default_rng(seed).normal(size=x.shape)
+    z = unit(z - (z * x).sum(axis=1, keepdims=True) * x)
+    return cosine * x + np.sqrt(max(0.0, 1 - cosine * cosine)) * z
+
+
 def _verify(least: float):
     """Links of one block of a cell: visitors against residents."""
 
@@ -131,6 +147,31 @@ def _verify(least: float):
     return run
 
 
+def _met(classes: DataFrame, grid: Grid, probe: np.ndarray, least: float, most: int, dim: int) -> np.ndarray:
+    """How many true neighbours each probe meets at each place, at ``most`` those it never meets; its own class is left out."""
+    sent = classes.sparkSession.sparkContext.broadcast((grid, probe, grid.visits(probe, most)))
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grid, probe, sequence = sent.value
+        for batch in batches:
+            y = unit(_matrix(batch.column("vector"), dim))
+            for a in range(0, len(y), 1024):
+                part = y[a : a + 1024]
+                i, j = np.nonzero(probe @ part.T >= least)
+                # Classes are distinct vectors: only the probe's own, up to its length, is equal to it.
+                other = np.abs(probe[i] - part[j]).max(axis=1, initial=0) > 1e-12
+                i, j = i[other], j[other]
+                hit = sequence[i] == grid.visits(part, 1)[:, 0][j][:, None]
+                place = np.where(hit.any(axis=1), hit.argmax(axis=1), most)
+                key, n = np.unique(i * (most + 1) + place, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64)), pa.array(n.astype(np.int64))], ["key", "n"])
+
+    rows = classes.select("vector").mapInArrow(meet, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros((len(probe), most + 1))
+    out.ravel()[rows.column("key").to_numpy()] = rows.column("n").to_numpy()
+    return out
+
+
 def near_duplicates(
     vectors: DataFrame,
     least: float = 0.9,
@@ -139,6 +180,7 @@ def near_duplicates(
     target_recall: float = 0.995,
     sample_rows: int = 20_000,
     probes: int = 512,
+    least_known: int = 200,
     per_cell: int = 64,
     most_centroids: int = 1024,
     most_visits: int = 256,
@@ -160,33 +202,23 @@ def near_duplicates(
     most = min(most_visits, grid.cells)
 
     # Probes against all vectors: at which place of its sequence does a probe meet each true neighbour?
-    probe = unit(sample[np.random.default_rng(3).choice(len(sample), min(probes, len(sample)), replace=False)])
-    sequence = grid.visits(probe, most)
-    sent = spark.sparkContext.broadcast((grid, probe, sequence))
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grid, probe, sequence = sent.value
-        total = np.zeros(most + 1, np.int64)
-        for batch in batches:
-            y = unit(_matrix(batch.column("vector"), dim))
-            if not len(y):
-                continue
-            home = grid.visits(y, 1)[:, 0]
-            i, j = np.nonzero(probe @ y.T >= least)
-            hit = sequence[i] == home[j][:, None]
-            total += np.bincount(np.where(hit.any(axis=1), hit.argmax(axis=1), most), minlength=most + 1)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(most + 1)), pa.array(total)], ["place", "n"])
-
-    places = classes.select("vector").mapInArrow(meet, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).collect()
-    met = np.zeros(most + 1, np.int64)
-    for r in places:
-        met[r.place] = r.n
-    share = np.cumsum(met) / max(met.sum(), 1)
-    # Without any true neighbour to measure by, a fixed number of visits.
-    visits = int(min(max(4, np.searchsorted(share, target_recall) + 1) if met.sum() else 16, most))
+    drawn = np.random.default_rng(3).permutation(len(sample))[: 8 * probes]
+    share, known, at, size = np.zeros(most + 1), 0, 0, probes
+    while at < len(drawn) and known < least_known:
+        probe = unit(sample[drawn[at : at + size]])
+        found = _met(classes, grid, probe, least, most, dim)
+        found = found[found.sum(axis=1) > 0]
+        share += (found / np.maximum(found.sum(axis=1, keepdims=True), 1)).sum(axis=0)
+        known, at, size = known + len(found), at + size, size * 4
+    if known < least_known:
+        x = unit(np.tile(sample, (-(-2000 // len(sample)), 1))[:20_000])
+        share = np.bincount(grid.places(x, at_cosine(x, least), most), minlength=most + 1).astype(float)
+    recall = np.cumsum(share[:most]) / max(share.sum(), 1e-300)
+    visits = int(min(max(4, np.searchsorted(recall, target_recall) + 1), most))
+    sent = spark.sparkContext.broadcast(grid)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grid, _, _ = sent.value
+        grid = sent.value
         for batch in batches:
             x = unit(_matrix(batch.column("vector"), dim))
             if not len(x):

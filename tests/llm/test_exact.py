@@ -234,6 +234,16 @@ def test_embedding_dedup(spark):
     assert embedding_dedup.near_duplicates(vectors(spark, [])).count() == 0
 
 
+def test_embedding_recall_with_few_neighbours(spark):
+    """Probes that only meet themselves say nothing about recall: planted pairs are found all the same."""
+    rng = np.random.default_rng(8)
+    x = embedding_dedup.unit(rng.normal(size=(12_000, 64)))
+    y = embedding_dedup.at_cosine(x[:60], 0.92, seed=9)
+    rows = [(i, v.tolist()) for i, v in enumerate(np.concatenate([x, y]))]
+    got = {r.vec_id: r.n_links for r in embedding_dedup.near_duplicates(vectors(spark, rows)).collect()}
+    assert sum(got[12_000 + i] > 0 for i in range(60)) >= 59
+
+
 def test_multi_sequence_is_in_order():
     rng = np.random.default_rng(0)
     x = embedding_dedup.unit(rng.normal(size=(50, 8)))
