@@ -117,6 +117,17 @@ def test_lm_beats_the_base(spark):
     assert got.score.sum() > got.base_score.sum()
 
 
+def test_lm_learns_from_all_documents(spark, monkeypatch):
+    """Pairs of symbols are those of every document, and the shards of a larger corpus change the weights."""
+    docs = read(spark, SMALL, "documents").select("doc_id", "text")
+    seen, first = [], []
+    train = lm_scoring.train
+    monkeypatch.setattr(lm_scoring, "train", lambda model, sequences, count, pairs: (seen.append(pairs), train(model, sequences, count, pairs), first.append(dict(model.p))))
+    model, _ = lm_scoring.fit(docs, words=50, sample_docs=40)
+    assert seen[0].sum() == model.total
+    assert all(np.isfinite(w).all() for w in model.p.values()) and not np.allclose(model.p["r"], first[0]["r"])
+
+
 def test_hinge_model_separates():
     rng = np.random.default_rng(2)
     rows, y = [], []
