@@ -9,8 +9,10 @@ target share of their true neighbours, themselves left out, as a mean over
 probes.  More probes are drawn until enough of them have a neighbour; if they
 stay too few, vectors at exactly the least cosine from the sample, in random
 directions, stand in for neighbours: the farthest that a link may be, so that
-closer ones are found at least as often.  In each cell visitors are verified
-against residents in double precision, by blocked matrix products.
+closer ones are found at least as often.  The search for that count begins
+with ``first_visits`` places and doubles them while the target is missed, up
+to all cells of the grid, which is exact; nothing is cut silently.  In each cell
+visitors are verified against residents in double precision, by blocked matrix products.
 
 Equal vectors form one class and are compared once.  A cell with many visitors
 or residents is split by hash into blocks on both sides; only counts and
@@ -18,8 +20,10 @@ spanning edges leave a block, never pairs, and no partner is capped.
 
 Edge cases: null or zero vectors and those with null or non-finite components
 link with nothing; shorter vectors count as padded with zeros; equal rows link
-with each other; an empty table gives an empty table; further columns are
-ignored.  A link counts for both ends whichever of them found it.
+with each other; a row without ``vec_id`` links and counts like any other, but
+names a component only if no row of it has an id (then null), and is kept only
+then; an empty table gives an empty table; further columns are ignored,
+whatever their names.  A link counts for both ends whichever of them found it.
 """
 
 from __future__ import annotations
@@ -27,7 +31,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -113,21 +116,24 @@ def at_cosine(x: np.ndarray, cosine: float, seed: int = 4) -> np.ndarray:
     return cosine * x + np.sqrt(max(0.0, 1 - cosine * cosine)) * z
 
 
-def _verify(least: float):
+def _verify(least: float, dim: int):
     """Links of one block of a cell: visitors against residents."""
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        resident = rows["resident"].to_numpy()
-        visitors, homes = rows[~resident].sort_values("key"), rows[resident].sort_values("key")
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.combine_chunks()
+        resident = rows.column("resident").to_numpy()
+        key, copies, home = (rows.column(c).to_numpy() for c in ("key", "copies", "home"))
+        order = np.argsort(key, kind="stable")
+        visitors, homes = order[~resident[order]], order[resident[order]]
         if not len(visitors) or not len(homes):
-            return pd.DataFrame({"key": np.empty(0, np.int64), "links": np.empty(0, np.int64), "root": np.empty(0, np.int64)})
-        x, y = (unit(np.stack(r["vector"].to_list()).astype(np.float64)) for r in (visitors, homes))
-        kx, ky = visitors["key"].to_numpy(), homes["key"].to_numpy()
-        wx, wy = visitors["copies"].to_numpy(), homes["copies"].to_numpy()
+            return pa.table({c: pa.array([], pa.int64()) for c in ("key", "links", "root")})
+        x = unit(_matrix(rows.column("vector").combine_chunks(), dim))
+        x, y = x[visitors], x[homes]
+        kx, ky, wx, wy = key[visitors], key[homes], copies[visitors], copies[homes]
         keys = np.unique(np.concatenate([kx, ky]))
         px, py = np.searchsorted(keys, kx), np.searchsorted(keys, ky)
-        home_of = visitors["home"].to_numpy()
-        seen = np.stack(homes["visits"].to_list())
+        visits = rows.column("visits").combine_chunks().take(pa.array(homes))
+        seen = visits.flatten().to_numpy().reshape(len(homes), -1)
         links, label = np.zeros(len(keys), np.int64), np.arange(len(keys))
         for a in range(0, len(x), 512):
             near = x[a : a + 512] @ y.T >= least
@@ -136,13 +142,13 @@ def _verify(least: float):
                 hit, i = np.flatnonzero(near[r]), a + r
                 links[px[i]] += wy[hit].sum()
                 # A resident that doesn't visit this visitor's home won't find the link itself.
-                blind = hit[~(seen[hit] == home_of[i]).any(axis=1)]
+                blind = hit[~(seen[hit] == home[visitors[i]]).any(axis=1)]
                 links[py[blind]] += wx[i]
                 met = np.unique(np.append(label[py[hit]], label[px[i]]))
                 if len(met) > 1:
                     label[np.isin(label, met)] = met[0]
         found = np.flatnonzero((links > 0) | (label != np.arange(len(keys))))
-        return pd.DataFrame({"key": keys[found], "links": links[found], "root": keys[label[found]]})
+        return pa.table({"key": keys[found], "links": links[found], "root": keys[label[found]]})
 
     return run
 
@@ -172,6 +178,31 @@ def _met(classes: DataFrame, grid: Grid, probe: np.ndarray, least: float, most:
     return out
 
 
+def calibrate(classes: DataFrame, sample: np.ndarray, grid: Grid, least: float, target: float, dim: int, probes: int = 512, least_known: int = 200, first_visits: int = 256) -> dict:
+    """{"visits", "recall", "probes"}: the least number of visits that reaches ``target``, the recall measured for it and by how many probes.
+
+    ``probes`` is 0 where too few vectors had a neighbour and stand-ins were measured.
+    """
+    drawn = np.random.default_rng(3).permutation(len(sample))[: 8 * probes]
+    most = min(first_visits, grid.cells)
+    while True:
+        share, known, at, size = np.zeros(most + 1), 0, 0, probes
+        while at < len(drawn) and known < least_known:
+            found = _met(classes, grid, unit(sample[drawn[at : at + size]]), least, most, dim)
+            found = found[found.sum(axis=1) > 0]
+            share += (found / np.maximum(found.sum(axis=1, keepdims=True), 1)).sum(axis=0)
+            known, at, size = known + len(found), at + size, size * 4
+        if known < least_known:
+            known = 0
+            x = unit(np.tile(sample, (-(-2000 // len(sample)), 1))[:20_000])
+            share = np.bincount(grid.places(x, at_cosine(x, least), most), minlength=most + 1).astype(float)
+        recall = np.cumsum(share[:most]) / max(share.sum(), 1e-300)
+        visits = int(min(max(4, np.searchsorted(recall, target - 1e-9) + 1), most))
+        if recall[visits - 1] >= target - 1e-9 or most == grid.cells:
+            return {"visits": visits, "recall": float(recall[visits - 1]), "probes": known}
+        most = min(2 * most, grid.cells)
+
+
 def near_duplicates(
     vectors: DataFrame,
     least: float = 0.9,
@@ -179,14 +210,15 @@ def near_duplicates(
     column: str = "embedding",
     target_recall: float = 0.995,
     sample_rows: int = 20_000,
-    probes: int = 512,
-    least_known: int = 200,
-    per_cell: int = 64,
+    per_cell: int = 512,
     most_centroids: int = 1024,
-    most_visits: int = 256,
     block: int = 4096,
+    measured: dict | None = None,
 ) -> DataFrame:
-    """(vec_id, n_links, component_id, kept) of every row; the codebooks are fitted on at most ``sample_rows`` vectors."""
+    """(vec_id, n_links, component_id, kept) of every row; the codebooks are fitted on at most ``sample_rows`` vectors.
+
+    ``measured``, if given, receives what ``calibrate`` found.
+    """
     spark = vectors.sparkSession
     prepare(spark)
     raw = F.col(column)
@@ -199,22 +231,10 @@ def near_duplicates(
     sample = _matrix(sample, dim) if len(sample) else np.ones((1, dim))
     k = int(min(most_centroids, max(2, np.ceil(np.sqrt(count / per_cell))), len(sample)))
     grid = Grid.fit(sample, k)
-    most = min(most_visits, grid.cells)
-
-    # Probes against all vectors: at which place of its sequence does a probe meet each true neighbour?
-    drawn = np.random.default_rng(3).permutation(len(sample))[: 8 * probes]
-    share, known, at, size = np.zeros(most + 1), 0, 0, probes
-    while at < len(drawn) and known < least_known:
-        probe = unit(sample[drawn[at : at + size]])
-        found = _met(classes, grid, probe, least, most, dim)
-        found = found[found.sum(axis=1) > 0]
-        share += (found / np.maximum(found.sum(axis=1, keepdims=True), 1)).sum(axis=0)
-        known, at, size = known + len(found), at + size, size * 4
-    if known < least_known:
-        x = unit(np.tile(sample, (-(-2000 // len(sample)), 1))[:20_000])
-        share = np.bincount(grid.places(x, at_cosine(x, least), most), minlength=most + 1).astype(float)
-    recall = np.cumsum(share[:most]) / max(share.sum(), 1e-300)
-    visits = int(min(max(4, np.searchsorted(recall, target_recall) + 1), most))
+    plan = calibrate(classes, sample, grid, least, target_recall, dim)
+    visits = plan["visits"]
+    if measured is not None:
+        measured.update(plan)
     sent = spark.sparkContext.broadcast(grid)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,7 +262,7 @@ def near_duplicates(
     came = placed.select("key", "copies", "vector", "home", F.explode("visits").alias("cell")).join(size, "cell").withColumn("v", F.pmod(F.xxhash64("key"), F.col("vb")).cast("int")).withColumn("r", spread(F.col("rb")))
     live = placed.join(size, placed.home == size.cell).withColumn("r", F.pmod(F.xxhash64("key", F.lit(2)), F.col("rb")).cast("int")).withColumn("v", spread(F.col("vb")))
     both = came.select("cell", "v", "r", *base.columns, F.lit(None).cast("array<long>").alias("visits"), F.lit(False).alias("resident")).unionByName(live.select("cell", "v", "r", *base.columns, "visits", F.lit(True).alias("resident")))
-    found = materialise(both.groupBy("cell", "v", "r").applyInPandas(_verify(least), "key long, links long, root long"))
+    found = materialise(both.groupBy("cell", "v", "r").applyInArrow(_verify(least, dim), "key long, links long, root long"))
 
     links = found.groupBy("key").agg(F.sum("links").alias("links"))
     roots = components(found.select("key", "root"), "key", "root").withColumnRenamed("id", "key")
@@ -258,4 +278,4 @@ def near_duplicates(
     small = linked.where(F.col("copies") < hot_at).drop("copies").withColumn("_open", F.lit(True))
     out = out.join(small, ["key", "_open"], "left")
     component = F.coalesce("_c", "component_id", "vec_id")
-    return out.select("vec_id", F.coalesce("_n", "n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (component == F.col("vec_id")).alias("kept"))
+    return out.select("vec_id", F.coalesce("_n", "n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), component.eqNullSafe(F.col("vec_id")).alias("kept"))

@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import public_tokenizers
 import pytest
 import tokenizers
@@ -234,14 +235,40 @@ def test_embedding_dedup(spark):
     assert embedding_dedup.near_duplicates(vectors(spark, [])).count() == 0
 
 
-def test_embedding_recall_with_few_neighbours(spark):
-    """Probes that only meet themselves say nothing about recall: planted pairs are found all the same."""
-    rng = np.random.default_rng(8)
-    x = embedding_dedup.unit(rng.normal(size=(12_000, 64)))
-    y = embedding_dedup.at_cosine(x[:60], 0.92, seed=9)
-    rows = [(i, v.tolist()) for i, v in enumerate(np.concatenate([x, y]))]
-    got = {r.vec_id: r.n_links for r in embedding_dedup.near_duplicates(vectors(spark, rows)).collect()}
-    assert sum(got[12_000 + i] > 0 for i in range(60)) >= 59
+@pytest.mark.parametrize("rows,pairs", [(20_000, 100), (20_000, 700)])
+def test_embedding_recall_of_planted_pairs(spark, tmp_path, rows, pairs):
+    """Pairs of vectors near the least cosine, found whatever their share of the table."""
+    rng = np.random.default_rng(rows + pairs)
+    x = embedding_dedup.unit(rng.normal(size=(rows, 64)).astype(np.float32))
+    y = embedding_dedup.at_cosine(x[:pairs], 0.905, seed=9)
+    both = np.concatenate([x, y]).astype(np.float32)
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(both) + 1) * 64, pa.int32()), pa.array(both.ravel()))
+    pq.write_table(pa.table({"vec_id": np.arange(len(both)), "embedding": lists}), tmp_path / "v.parquet", row_group_size=20_000)
+    measured = {}
+    got = embedding_dedup.near_duplicates(spark.read.parquet(str(tmp_path / "v.parquet")), measured=measured)
+    got = {r.vec_id: r.n_links for r in got.where("n_links > 0").collect()}
+    # Random vectors of 64 components are never so near by chance: each planted pair is one link for either end.
+    expected = dict.fromkeys([*range(pairs), *range(rows, rows + pairs)], 1)
+    assert all(n <= expected.get(i, 0) for i, n in got.items())
+    assert sum(got.values()) >= 0.99 * len(expected) and measured["recall"] >= 0.995
+
+
+def test_embedding_search_grows_to_all_cells(spark):
+    """Where the first visits miss the target, the search goes on; at all cells it is exact.  Near, unequal vectors, equal ones and rows without an id."""
+    rng = np.random.default_rng(5)
+    x = embedding_dedup.unit(rng.normal(size=(400, 6)))
+    y = embedding_dedup.at_cosine(x[:150], 0.93, seed=3)
+    rows = [(i if i % 7 else None, v.tolist()) for i, v in enumerate(np.concatenate([x, y, x[:20]]), 1)]
+    expected = brute.near_vectors([(-i if a is None else a, v) for i, (a, v) in enumerate(rows, 1)])
+    got = embedding_dedup.near_duplicates(vectors(spark, rows), target_recall=1.0, per_cell=4).collect()
+    assert sorted(r.n_links for r in got) == sorted(n for n, _ in expected)
+    named = {a: n for (a, _), (n, _) in zip(rows, expected) if a is not None}
+    assert {r.vec_id: r.n_links for r in got if r.vec_id is not None} == named
+    assert all(r.kept is not None and (not r.kept or r.component_id == r.vec_id) for r in got)
+    classes = spark.createDataFrame([(v,) for _, v in rows], "vector array<double>")
+    z = embedding_dedup.unit(np.array([v for _, v in rows]))
+    plan = embedding_dedup.calibrate(classes, z, embedding_dedup.Grid.fit(z, 12), 0.9, 1.0, 6, first_visits=4)
+    assert plan["visits"] > 4 and plan["recall"] >= 1 - 1e-9
 
 
 def test_multi_sequence_is_in_order():
