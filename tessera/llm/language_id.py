@@ -11,9 +11,11 @@ For scoring, the embedding and filter products are tabulated for byte pairs;
 a position is then the sum of two table rows.
 
 Edge cases: a text that is null or has no letter is ``und`` with score 0; rows
-without a language are not learnt from; without any labelled row every text is
-``und``; repeated rows are predicted one by one; an empty table gives an empty
-table; clashing columns are replaced.
+without a language or an id are not learnt from, and rows with equal id and
+language only once; ids may be of any type; without any labelled row every text
+is ``und``; with one language every other text is that; repeated rows are
+predicted one by one; very long texts are read whole; an empty table gives an
+empty table; columns named like the results are replaced, others are kept.
 """
 
 from __future__ import annotations
@@ -122,44 +124,50 @@ class Network:
             adam.step(p, {"o": hidden.T @ d, "c": d.sum(0), "b": g.sum(0), "w": grad_w, "e": grad_e})
 
 
-def labelled_windows(docs: DataFrame, allowed, label: str, text: str, each: int, most: int) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """Windows of at most ``most`` texts, about ``each`` a language, with the language number."""
-    known = docs.where(F.col(label).isNotNull() & F.col(text).isNotNull() & (F.length(text) > 0))
+def labelled_windows(docs: DataFrame, allowed, label: str, text: str, each: int, most: int, windows_each: int, most_languages: int) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """Windows of at most ``most`` texts, about ``each`` a language, with the language number; see ``train``."""
+    known = docs.where(F.col(label).isNotNull() & F.col(text).isNotNull() & (F.length(text) > 0) & F.col("doc_id").isNotNull())
     if allowed is not None:
         known = known.where(allowed)
-    counts = known.groupBy(F.col(label).alias("_l")).count().orderBy("_l").collect()
+    counts = known.groupBy(F.col(label).alias("_l")).count().orderBy(F.desc("count"), "_l").limit(most_languages).collect()
     if not counts:
         return np.empty((0, WINDOW), np.uint8), np.empty(0, np.int64), []
     spark = docs.sparkSession
     rates = spark.createDataFrame([(r["_l"], min(1.0, each / r["count"])) for r in counts], "_l string, _rate double")
     uniform = (F.pmod(F.xxhash64("doc_id", F.lit(41)), F.lit(1 << 20)) / (1 << 20)).alias("_u")
-    chosen = known.select("doc_id", F.col(label).alias("_l"), uniform).join(F.broadcast(rates), "_l").where("_u < _rate").select(F.col("doc_id").alias("_d"), "_l").distinct().orderBy(F.xxhash64("_d"), "_l").limit(most)
-    sample = docs.select("doc_id", F.col(text).alias("_t"), F.col(label).alias("_k")).join(F.broadcast(chosen), (F.col("doc_id") == F.col("_d")) & (F.col("_k") == F.col("_l"))).select("doc_id", "_l", F.col("_t"))
+    chosen = known.select("doc_id", F.col(label).alias("_l"), uniform).join(F.broadcast(rates), "_l").where("_u < _rate").select(F.col("doc_id").alias("_d"), "_l").distinct().orderBy(F.xxhash64("_d"), "_d", "_l").limit(most)
+    rows = docs.select("doc_id", F.col(text).alias("_t"), F.col(label).alias("_k"), F.xxhash64(text).alias("version"), F.xxhash64("doc_id", F.lit(42)).alias("h"))
+    sample = rows.join(F.broadcast(chosen), (F.col("doc_id") == F.col("_d")) & (F.col("_k") == F.col("_l"))).select("doc_id", "version", "h", "_l", "_t")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
+            found = []
             for i, j, data, at in tb.blocks(batch.column("_t")):
                 x, doc = windows(data, at)
                 ends = np.searchsorted(doc, np.arange(j - i + 1))
-                # Training reads at most 24 windows of a text, spread over all of it.
                 for a, b in zip(ends[:-1], ends[1:]):
-                    rows.append(x[np.unique(np.linspace(a, b - 1, min(b - a, 24)).astype(int))].tobytes() if b > a else b"")
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("_l"), pa.array(rows, pa.binary())], ["doc_id", "l", "x"])
+                    found.append(x[np.unique(np.linspace(a, b - 1, min(b - a, windows_each)).astype(int))].tobytes() if b > a else b"")
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "version", "h", "_l")), pa.array(found, pa.binary())], ["doc_id", "version", "h", "l", "x"])
 
-    rows = sample.mapInArrow(cut, "doc_id long, l string, x binary").collect()
-    rows.sort(key=lambda r: (r.doc_id, r.l, bytes(r.x)))
-    names = sorted({r.l for r in rows if len(r.x)})
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    made = sample.mapInArrow(cut, f"doc_id {kind}, version long, h long, l string, x binary").groupBy("h", "doc_id", "l").agg(F.min(F.struct("version", "x")).alias("r")).select("h", "l", "r.*").collect()
+    made = sorted((r for r in made if len(r.x)), key=lambda r: (r.h, r.l, r.version, bytes(r.x)))
+    names = sorted({r.l for r in made})
     number = {k: i for i, k in enumerate(names)}
-    parts = [np.frombuffer(r.x, np.uint8).reshape(-1, WINDOW) for r in rows if len(r.x)]
-    y = np.repeat([number[r.l] for r in rows if len(r.x)], [len(p) for p in parts]) if parts else np.empty(0, np.int64)
+    parts = [np.frombuffer(r.x, np.uint8).reshape(-1, WINDOW) for r in made]
+    y = np.repeat([number[r.l] for r in made], [len(p) for p in parts]) if parts else np.empty(0, np.int64)
     return np.concatenate(parts) if parts else np.empty((0, WINDOW), np.uint8), y.astype(np.int64), names
 
 
-def train(docs: DataFrame, allowed=None, label: str = "lang", text: str = "text", each: int = 800, most: int = 6000, steps: int = 1500) -> Network:
-    """A network fitted on about ``each`` texts a language, at most ``most``, in ``steps`` batches."""
+def train(docs: DataFrame, allowed=None, label: str = "lang", text: str = "text", each: int = 800, most: int = 6000, windows_each: int = 24, most_languages: int = 256, steps: int = 1500) -> Network:
+    """A network fitted in ``steps`` batches on a bounded sample of labelled texts.
+
+    The bounds: about ``each`` texts a language and at most ``most`` in all, of
+    each ``windows_each`` windows, spread evenly from its first to its last
+    (all where it has no more), and the ``most_languages`` most frequent languages.
+    """
     prepare(docs.sparkSession)
-    x, y, names = labelled_windows(docs, allowed, label, text, each, most)
+    x, y, names = labelled_windows(docs, allowed, label, text, each, most, windows_each, most_languages)
     net = Network(names or [UNKNOWN])
     if len(names) > 1:
         net.train(x, y, steps)

@@ -11,9 +11,13 @@ parameter); scoring is one narrow pass over whole texts with a weight table of
 fixed size.
 
 Edge cases: null and empty texts have no indicator and get the score of the
-intercept; a repeated label row counts once (its lowest label); with one class
-or no labelled row every score is the share of label 1 (0.5 without rows); an
-empty table gives an empty table; clashing columns are replaced.
+intercept; ids may be of any type; a repeated label row counts once (its lowest
+label), and of the rows of one id only one is learnt from (that with the
+smallest hash of its text); rows without an id are scored, not learnt from; with
+one class or no labelled row every score is the share of label 1 (0.5 without
+rows); repeated rows are scored one by one; very long texts are scored whole; an
+empty table gives an empty table; a column named like the result is replaced,
+others are kept.
 """
 
 from __future__ import annotations
@@ -145,18 +149,28 @@ def fit(rows: list[np.ndarray], y: np.ndarray, bits: int = BITS) -> Model:
     return Model((w[:-1] * ratio).astype(np.float32), (ratio**2).astype(np.float32), float(w[-1]), slope, offset, bits)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most_rows: int, allowed=None, among=F.min) -> DataFrame:
-    """(doc_id, y, text) of at most ``most_rows`` labelled documents, chosen by a hash of the id; ``among`` settles repeated labels."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most_rows: int, allowed=None, among=F.min, also: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, version, h, y, text) and ``also`` of the rows of at most ``most_rows`` labelled documents, chosen by a hash of the id.
+
+    ``among`` settles repeated labels; ``version`` and ``h`` are hashes of the text and the id.
+    """
     chosen = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull())
     if allowed is not None:
         chosen = chosen.where(allowed)
     chosen = chosen.select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("_y")).orderBy(F.xxhash64("_id"), "_id", "_y").limit(most_rows)
     chosen = chosen.groupBy("_id").agg(among("_y").alias("y"))
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("doc_id", "y", "text")
+    rows = docs.select("doc_id", F.xxhash64("text").alias("version"), F.xxhash64("doc_id", F.lit(11)).alias("h"), "text", *also)
+    return rows.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("doc_id", "version", "h", "y", "text", *also)
+
+
+def one_row_each(features: DataFrame, also: tuple[str, ...] = ()) -> list:
+    """The sample on the driver in a fixed order: of the rows of one id only that with the smallest hash of its text, so no more rows than labels."""
+    kept = features.groupBy("h", "doc_id").agg(F.min(F.struct("version", "y", "x", *also)).alias("r")).select("h", "r.*").collect()
+    return sorted(kept, key=lambda r: (r.h, r.version, bytes(r.x)))
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most_rows: int = 8000, allowed=None, bits: int = BITS) -> Model:
-    """Fit on at most ``most_rows`` labelled rows; executors send indicator sets, not texts."""
+    """Fit on at most ``most_rows`` labelled rows; executors send indicator sets, at most ``2**bits`` numbers each, not texts."""
     prepare(docs.sparkSession)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,10 +180,10 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most_rows:
                 keys = indicators(data, at, bits)
                 cut = np.searchsorted(keys, np.arange(j - i + 1) << bits)
                 out += [(keys[a:b] & ((1 << bits) - 1)).astype(np.uint32).tobytes() for a, b in zip(cut[:-1], cut[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("y"), pa.array(out, pa.binary())], ["doc_id", "y", "x"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "version", "h", "y")), pa.array(out, pa.binary())], ["doc_id", "version", "h", "y", "x"])
 
-    rows = labelled_sample(docs, labels, label, most_rows, allowed).mapInArrow(features, "doc_id long, y int, x binary").collect()
-    rows.sort(key=lambda r: (hash((r.doc_id, 11)), bytes(r.x)))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = one_row_each(labelled_sample(docs, labels, label, most_rows, allowed).mapInArrow(features, f"doc_id {kind}, version long, h long, y int, x binary"))
     return fit([np.frombuffer(r.x, np.uint32) for r in rows], np.array([int(r.y > 0) for r in rows]), bits)
 
 

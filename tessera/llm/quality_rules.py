@@ -1,11 +1,11 @@
 """Quality rules as a short-circuit cascade.
 
-Each rule has a vectorised test over a block of texts.  ``plan`` runs every
-rule on a sample of the texts, measures its cost (seconds a text) and its
-selectivity (share rejected) and orders the rules by rejection per cost, the
-greedy order that minimises the expected cost of a conjunction.  ``apply``
-evaluates them in this order, each only on the texts that all earlier rules
-let through.  The verdict is the conjunction, so it does not depend on the order.
+Each rule has a vectorised test over a block of texts.  ``plan`` has executors
+run every rule on those texts of a sample that the base rule keeps, measures
+its cost (seconds a text, with taking out the survivors) and its selectivity
+(share rejected) and orders the rules by rejection per cost, the greedy order
+that minimises the expected cost of a conjunction.  ``verdicts`` evaluates them
+in this order, each only on the texts that all earlier rules let through.  The verdict is the conjunction, so it does not depend on the order.
 
 Edge cases: a null or empty text has no words, all its counts are 0 and it
 fails the base rule; ties and repeated rows are judged one by one; an empty
@@ -109,19 +109,47 @@ RULES: dict[str, Callable[[Block], np.ndarray]] = {
 }
 
 
-def plan(texts: list[str], rules: dict | None = None) -> list[tuple[str, float, float]]:
-    """(rule, seconds a text, share rejected) in the order to run, from a sample of texts."""
+def measure(block: Block, rules: dict | None = None) -> dict[str, tuple[float, int]]:
+    """rule -> (seconds, texts rejected) on the texts of a block that the base rule keeps, which are those a rule may get.
+
+    The seconds include taking the survivors out for the rule after it.
+    """
     rules = RULES if rules is None else rules
-    column = pa.array(texts or [""], pa.large_string())
-    made = []
-    for _, _, data, at in tb.blocks(column):
-        made.append(Block(data, at, base_counts(data, at)))
-    found, n = [], sum(b.n for b in made)
+    live = block.take(~base_failed(block.counts))
+    out = {}
     for name, test in rules.items():
         began = time.perf_counter()
-        rejected = sum(int(test(b).sum()) for b in made)
-        found.append((name, (time.perf_counter() - began) / n, rejected / n))
-    return sorted(found, key=lambda x: -x[2] / max(x[1], 1e-12))
+        bad = test(live)
+        if bad.any():
+            live.take(~bad)
+        out[name] = (time.perf_counter() - began, int(bad.sum()))
+    return out
+
+
+def ordered(found: dict[str, tuple[float, int]], n: int) -> list[tuple[str, float, float]]:
+    """(rule, seconds a text, share rejected) by rejection per cost, from sums over ``n`` texts."""
+    rows = [(name, seconds / max(n, 1), rejected / max(n, 1)) for name, (seconds, rejected) in found.items()]
+    return sorted(rows, key=lambda x: -x[2] / max(x[1], 1e-12))
+
+
+def plan(docs: DataFrame, text: str = "text", sample: int = 500, rules: dict | None = None) -> list[tuple[str, float, float]]:
+    """(rule, seconds a text, share rejected) in the order to run, measured by the executors on about ``sample`` texts; only sums reach the driver."""
+    prepare(docs.sparkSession)
+    chosen = docs.select(F.col(text).alias("t")).where(F.col("t").isNotNull()).where(F.pmod(F.xxhash64("t"), F.lit(64)) == 0).limit(sample)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, n = {name: (0.0, 0) for name in (RULES if rules is None else rules)}, 0
+        for batch in batches:
+            for _, _, data, at in tb.blocks(batch.column("t")):
+                block = Block(data, at, base_counts(data, at))
+                n += int((~base_failed(block.counts)).sum())
+                for name, (seconds, rejected) in measure(block, rules).items():
+                    total[name] = (total[name][0] + seconds, total[name][1] + rejected)
+        yield pa.RecordBatch.from_arrays([pa.array(list(total)), pa.array([v[0] for v in total.values()]), pa.array([v[1] for v in total.values()]), pa.array([n] * len(total))], ["name", "s", "bad", "n"])
+
+    sums = {r.name: r for r in chosen.mapInArrow(run, "name string, s double, bad long, n long").groupBy("name").agg(F.sum("s").alias("s"), F.sum("bad").alias("bad"), F.sum("n").alias("n")).collect()}
+    names = RULES if rules is None else rules
+    return ordered({k: (sums[k].s, sums[k].bad) if k in sums else (0.0, 0) for k in names}, next((r.n for r in sums.values()), 0))
 
 
 def verdicts(block: Block, order: list[str], rules: dict | None = None) -> np.ndarray:
@@ -137,16 +165,10 @@ def verdicts(block: Block, order: list[str], rules: dict | None = None) -> np.nd
     return kept
 
 
-def sample_texts(docs: DataFrame, text: str, size: int) -> list[str]:
-    """At most ``size`` texts, spread by a hash of the text; only for estimating costs, never for results."""
-    rows = docs.select(F.col(text).alias("t")).where(F.col("t").isNotNull()).where(F.pmod(F.xxhash64("t"), F.lit(64)) == 0).limit(size).collect()
-    return [r.t for r in rows]
-
-
 def annotate(docs: DataFrame, text: str = "text", sample: int = 500) -> DataFrame:
     """``docs`` with the counts, ``base_failed`` and ``kept``; one narrow pass over whole texts."""
     prepare(docs.sparkSession)
-    order = [name for name, _, _ in plan(sample_texts(docs, text, sample))]
+    order = [name for name, _, _ in plan(docs, text, sample)]
     base = docs.select(*[c for c in docs.columns if c not in COLUMNS])
     schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in base.schema)}, {', '.join(f'{k} {v}' for k, v in COLUMNS.items())}"
 

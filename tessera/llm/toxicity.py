@@ -13,9 +13,12 @@ from the words of the text itself (by a table learnt from the sample), never
 taken from a column.
 
 Edge cases: null and empty texts are one window of padding and get its score;
-a repeated label row counts once (its highest label); with one class or no
-labelled row every score is constant; repeated rows are scored one by one; an
-empty table gives an empty table; clashing columns are replaced.
+ids may be of any type; a repeated label row counts once (its highest label), and
+of the rows of one id only one is learnt from (that with the smallest hash of
+its text); rows without an id are scored, not learnt from; with one class or no
+labelled row every score is constant; repeated rows are scored one by one; very
+long texts are scored whole; an empty table gives an empty table; a column named
+like the result is replaced, others are kept.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ from pyspark.sql import functions as F
 
 from . import textblocks as tb
 from .nets import Adam, add_rows
-from .quality_classifier import labelled_sample
+from .quality_classifier import labelled_sample, one_row_each
 from .runtime import prepare
 
 BITS, DIM, REACH = 20, 8, 3
@@ -184,7 +187,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most_rows: i
     """A network fitted on at most ``most_rows`` labelled rows; executors send word buckets, not texts."""
     prepare(docs.sparkSession)
     docs = docs if "lang" in docs.columns else docs.withColumn("lang", F.lit(None).cast("string"))
-    sample = labelled_sample(docs, labels, label, most_rows, allowed, F.max)
+    sample = labelled_sample(docs, labels, label, most_rows, allowed, F.max, ("lang",))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -193,15 +196,12 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most_rows: i
                 bucket, doc = word_buckets(data, at, bits)
                 cut = np.searchsorted(doc, np.arange(j - i + 1))
                 out += [bucket[a:b].astype(np.uint32).tobytes() for a, b in zip(cut[:-1], cut[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("y"), pa.array(out, pa.binary())], ["doc_id", "y", "x"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "version", "h", "y", "lang")), pa.array(out, pa.binary())], ["doc_id", "version", "h", "y", "lang", "x"])
 
-    rows = sample.mapInArrow(features, "doc_id long, y int, x binary").collect()
-    rows.sort(key=lambda r: (hash((r.doc_id, 13)), bytes(r.x)))
-    ids = docs.sparkSession.createDataFrame([(r.doc_id,) for r in rows] or [(None,)], "_i long").distinct()
-    spoken = {r.doc_id: r.lang for r in docs.select("doc_id", "lang").join(F.broadcast(ids), F.col("doc_id") == F.col("_i")).select("doc_id", "lang").collect()}
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = one_row_each(sample.withColumn("lang", F.col("lang").cast("string")).mapInArrow(features, f"doc_id {kind}, version long, h long, y int, lang string, x binary"), ("lang",))
     x = [np.frombuffer(r.x, np.uint32).astype(np.int64) for r in rows]
-    y = np.array([int(r.y > 0) for r in rows])
-    return fit(x, y, [spoken.get(r.doc_id) for r in rows], bits)
+    return fit(x, np.array([int(r.y > 0) for r in rows]), [r.lang for r in rows], bits)
 
 
 def fit(x: list[np.ndarray], y: np.ndarray, lang: list[str | None], bits: int = BITS) -> Network:

@@ -5,6 +5,9 @@ import re
 
 import numpy as np
 
+from tessera.llm import language_id, quality_classifier, toxicity
+from tessera.llm import textblocks as tb
+
 WORD = re.compile("[^\x20\x09-\x0d]+")
 LOWER = str.maketrans({chr(65 + i): chr(97 + i) for i in range(26)})
 
@@ -102,3 +105,62 @@ def near_vectors(rows, least=0.9):
                 links[j] += 1
                 join(parent, rank[i], rank[j])
     return [(links[i], rows[order[find(parent, rank[i])]][0]) for i in range(len(rows))]
+
+
+def word_hash(word, table=None):
+    raw = np.frombuffer(word, np.uint8)
+    return int(tb.hashes(raw, np.array([0]), np.array([len(raw)]), table)[0])
+
+
+def sigmoid(z):
+    return 1 / (1 + np.exp(-min(max(z, -30.0), 30.0)))
+
+
+def quality_score(model, text):
+    """One text's score, indicator by indicator."""
+    raw = (text or "").encode()
+    at = np.array([0, len(raw)])
+    buckets = {int(k) & ((1 << model.bits) - 1) for k in quality_classifier.indicators(np.frombuffer(raw, np.uint8), at, model.bits)}
+    total = sum(float(model.weight[b]) for b in buckets)
+    length = sum(float(model.square[b]) for b in buckets) ** 0.5
+    return sigmoid(model.slope * (total / max(length, 1e-12) + model.intercept) + model.offset)
+
+
+def toxic_score(net, text):
+    """One text's score, filter by filter and place by place."""
+    strip = bytes(np.flatnonzero(tb.SPACE | toxicity.STRIP).tolist())
+    found = [w for w in re.split(b"[" + re.escape(strip) + b"]+", (text or "").encode()) if w]
+    ids = [max(word_hash(w, tb.LOWER) >> (64 - net.bits), 1) for w in found]
+    padded = ids + [0] * toxicity.REACH
+    z = float(net.p["c"][0])
+    for f, width in enumerate(toxicity.WIDTHS):
+        best = max(sum(float(net.e[padded[i + j]] @ net.p["w"][j, :, f]) for j in range(width)) for i in range(len(ids) + 1))
+        z += max(best + float(net.p["b"][f]), 0.0) * float(net.p["o"][f])
+    votes = [0] * len(net.shift)
+    for i in ids:
+        if net.languages[i] >= 0:
+            votes[net.languages[i]] += 1
+    return sigmoid(net.slope * (z - net.shift[votes.index(max(votes))]))
+
+
+def softmax_log(x):
+    top = max(x)
+    total = np.log(sum(np.exp(v - top) for v in x)) + top
+    return [v - total for v in x]
+
+
+def language_scores(net, text):
+    """Log-probabilities of one text, window by window and place by place."""
+    raw = [int(language_id._BYTES[b]) for b in (text or "").encode()]
+    mean = [0.0] * len(net.names)
+    starts = range(0, len(raw), language_id.WINDOW)
+    for s in starts:
+        w = raw[s : s + language_id.WINDOW]
+        w += [0] * (language_id.WINDOW + language_id.REACH - len(w))
+        out = [float(c) for c in net.p["c"]]
+        for f, width in enumerate(language_id.WIDTHS):
+            best = max(sum(float(net.p["e"][w[i + j]] @ net.p["w"][j, :, f]) for j in range(width)) for i in range(language_id.WINDOW))
+            for k in range(len(out)):
+                out[k] += max(best + float(net.p["b"][f]), 0.0) * float(net.p["o"][f, k])
+        mean = [m + v / len(starts) for m, v in zip(mean, softmax_log(out))]
+    return softmax_log(mean)

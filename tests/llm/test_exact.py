@@ -169,7 +169,8 @@ def test_cascade_order_does_not_change_verdicts(spark):
     for test in quality_rules.RULES.values():
         together &= ~test(block)
     assert (quality_rules.verdicts(block, names) == together).all() and (quality_rules.verdicts(block, names[::-1]) == together).all()
-    order = quality_rules.plan([t for _, t in base_rows(spark)])
+    order = quality_rules.plan(table(spark, base_rows(spark)), sample=10**6)
+    assert sorted(n for n, *_ in order) == sorted(names) and quality_rules.plan(table(spark, []))
     value = [share / max(cost, 1e-12) for _, cost, share in order]
     assert value == sorted(value, reverse=True)
 

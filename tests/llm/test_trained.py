@@ -59,6 +59,44 @@ def test_odd_rows(spark):
     assert "n_tokens" in got[-5].asDict() and language_id.predict(odd(spark).limit(0), net).count() == 0
 
 
+def test_scores_equal_plain_loops(spark):
+    """The batched forward passes of the trained models against loops over words, filters and places."""
+    docs, labels = read(spark, DATA, "documents"), read(spark, DATA, "labels")
+    rows = [*[(r.doc_id, r.text) for r in docs.orderBy("doc_id").limit(12).collect()], *[(d, t) for d, t in ODD if d != -5], (-7, "a")]
+    few = spark.createDataFrame(rows, "doc_id long, text string").dropDuplicates(["doc_id"])
+    text = dict(rows)
+    model, net, spoken = quality_classifier.train(docs, labels), toxicity.train(docs, labels, bits=14), language_id.train(docs, steps=60)
+    for r in quality_classifier.score(few, model).collect():
+        assert r.score == pytest.approx(brute.quality_score(model, text[r.doc_id]), abs=1e-5)
+    for r in toxicity.score(few, net).collect():
+        assert r.score == pytest.approx(brute.toxic_score(net, text[r.doc_id]), abs=1e-4)
+    for r in language_id.predict(few, spoken).collect():
+        if r.lang_pred != "und":
+            p = brute.language_scores(spoken, text[r.doc_id])
+            assert r.lang_pred == spoken.names[int(np.argmax(p))] and r.score == pytest.approx(np.exp(max(p)), abs=1e-4)
+
+
+def test_training_rows_are_bounded_for_any_ids(spark, monkeypatch):
+    """String ids, copies of every row, repeated and contradicting labels: no more rows are learnt from than the limit says."""
+    docs, labels = read(spark, DATA, "documents"), read(spark, DATA, "labels")
+    named = docs.withColumn("doc_id", F.concat(F.lit("d"), "doc_id"))
+    copies = named.crossJoin(spark.range(4).withColumnRenamed("id", "copy"))
+    tags = labels.withColumn("doc_id", F.concat(F.lit("d"), "doc_id"))
+    tags = tags.unionByName(tags).unionByName(tags.limit(3).withColumn("quality", 1 - F.col("quality")))
+    seen = {}
+    for module, name in ((quality_classifier, "quality"), (toxicity, "toxic")):
+        fit = module.fit
+        monkeypatch.setattr(module, "fit", lambda x, y, *rest, fit=fit, name=name: (seen.__setitem__(name, len(y)), fit(x, y, *rest))[1])
+    quality = quality_classifier.train(copies, tags, most_rows=40)
+    toxic = toxicity.train(copies, tags, most_rows=40, bits=12)
+    assert 0 < seen["quality"] <= 40 and 0 < seen["toxic"] <= 40
+    assert quality_classifier.score(named, quality).count() == toxicity.score(named, toxic).count() == docs.count()
+    x, y, names = language_id.labelled_windows(copies, None, "lang", "text", 5, 12, 3, 2)
+    assert len(names) == 2 and 0 < len(x) == len(y) <= 12 * 3
+    one = docs.withColumn("lang", F.lit("xx"))
+    assert {r.lang_pred for r in language_id.predict(one.limit(5), language_id.train(one)).collect()} == {"xx"}
+
+
 def test_nothing_to_learn_from(spark):
     docs, none = odd(spark), spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert {r.score for r in quality_classifier.score(docs, quality_classifier.train(docs, none)).collect()} == {0.5}
