@@ -5,7 +5,7 @@ import re
 
 import numpy as np
 
-from tessera.llm import language_id, quality_classifier, toxicity
+from tessera.llm import language_id, lm_scoring, quality_classifier, toxicity
 from tessera.llm import textblocks as tb
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -164,3 +164,33 @@ def language_scores(net, text):
                 out[k] += max(best + float(net.p["b"][f]), 0.0) * float(net.p["o"][f, k])
         mean = [m + v / len(starts) for m, v in zip(mean, softmax_log(out))]
     return softmax_log(mean)
+
+
+def form_of(word):
+    """The form class of a lower-cased word, from its last letters."""
+    raw = word.encode()
+    end = bool(lm_scoring.PUNCTUATION[raw[-1]])
+    last = max(len(raw) - 1 - end, 0)
+    value = raw[last] | raw[max(last - 1, 0)] << 8 | end << 16
+    return int(tb.mix(np.array([value], np.uint64))[0]) % lm_scoring.FORMS
+
+
+def model_score(model, counts, text):
+    """log10 probability of a text, token by token, with plain sums over all clusters and members; ``counts`` by hash."""
+    p, end = model.p, model.words
+    symbol = dict(zip(model.head.tolist(), model.head_symbol.tolist()))
+    total, before = 0.0, [end] * lm_scoring.CONTEXT
+    for w in [*words((text or "").translate(LOWER)), None]:
+        h = None if w is None else word_hash(w.encode())
+        s = end if w is None else symbol.get(h, -1)
+        if s < 0:
+            form = form_of(w)
+            s = end + 1 + form
+            total += np.log10((counts.get(h, 0) + 0.5) / model.mass[form])
+        q = sum(p["r"][before[k]].astype(float) * p["a"][k] for k in range(lm_scoring.CONTEXT))
+        c = int(model.cluster[s])
+        total += softmax_log([float(q @ p["s"][k]) + float(p["t"][k]) for k in range(len(p["s"]))])[c] / np.log(10)
+        group = model.members[c].tolist()
+        total += softmax_log([float(q @ p["o"][m]) + float(p["b"][m]) for m in group])[group.index(s)] / np.log(10)
+        before = [s, *before[:-1]]
+    return total

@@ -110,7 +110,7 @@ def test_nothing_to_learn_from(spark):
 
 def test_lm_counts(spark):
     docs = read(spark, DATA, "documents").select("doc_id", "text").unionByName(odd(spark).select("doc_id", "text"))
-    model, counts = lm_scoring.fit(docs.where(fold("doc_id", 5) != 1), words=50, head_words=200, sample_docs=30)
+    model, counts = lm_scoring.fit(docs.where(fold("doc_id", 5) != 1), words=50, head_words=200)
     got = lm_scoring.score(docs, model, counts).collect()
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     c, ends = collections.Counter(), 0
@@ -132,7 +132,7 @@ def test_lm_counts(spark):
 
 def test_lm_is_normalised(spark):
     docs = read(spark, DATA, "documents").select("doc_id", "text")
-    model, counts = lm_scoring.fit(docs, words=40, sample_docs=40)
+    model, counts = lm_scoring.fit(docs, words=40)
     size = model.words + 1 + lm_scoring.FORMS
     before = np.random.default_rng(1).integers(0, size, (3, lm_scoring.CONTEXT))
     for ctx in before:
@@ -150,20 +150,34 @@ def test_lm_is_normalised(spark):
 
 def test_lm_beats_the_base(spark):
     docs = read(spark, SMALL, "documents").select("doc_id", "text")
-    model, counts = lm_scoring.fit(docs.where(fold("doc_id", 5) != 1), words=200, sample_docs=300)
+    model, counts = lm_scoring.fit(docs.where(fold("doc_id", 5) != 1), words=200)
     got = lm_scoring.score(docs.where(fold("doc_id", 5) == 1), model, counts).toPandas()
     assert got.score.sum() > got.base_score.sum()
 
 
 def test_lm_learns_from_all_documents(spark, monkeypatch):
-    """Pairs of symbols are those of every document, and the shards of a larger corpus change the weights."""
-    docs = read(spark, SMALL, "documents").select("doc_id", "text")
+    """Pairs of symbols are those of every document, and each round moves the weights by positions of all of them."""
+    docs = read(spark, DATA, "documents").select("doc_id", "text")
     seen, first = [], []
-    train = lm_scoring.train
-    monkeypatch.setattr(lm_scoring, "train", lambda model, sequences, count, pairs: (seen.append(pairs), train(model, sequences, count, pairs), first.append(dict(model.p))))
-    model, _ = lm_scoring.fit(docs, words=50, sample_docs=40)
+    start = lm_scoring.start
+    monkeypatch.setattr(lm_scoring, "start", lambda model, count, pairs: (seen.append(pairs), start(model, count, pairs), first.append(dict(model.p))))
+    model, _ = lm_scoring.fit(docs, words=50)
     assert seen[0].sum() == model.total
     assert all(np.isfinite(w).all() for w in model.p.values()) and not np.allclose(model.p["r"], first[0]["r"])
+    # The mean over partitions is by positions: with a rate of nothing it gives back the same weights.
+    count = np.ones(model.words + 1 + lm_scoring.FORMS)
+    same = lm_scoring.averaged(docs.repartition(5), model, count, 1, 0.0, 0)
+    assert all(np.allclose(same[k], model.p[k], atol=1e-6) for k in same)
+
+
+def test_lm_score_equals_plain_loops(spark):
+    docs = read(spark, DATA, "documents").select("doc_id", "text")
+    model, counts = lm_scoring.fit(docs.where(fold("doc_id", 5) != 1), words=50, head_words=200)
+    table = {r.h & (2**64 - 1): r.c for r in counts.collect()}
+    few = docs.orderBy("doc_id").limit(15).unionByName(odd(spark).select("doc_id", "text").where("doc_id != -5"))
+    text = {r.doc_id: r.text for r in few.collect()}
+    for r in lm_scoring.score(few, model, counts).collect():
+        assert r.score == pytest.approx(brute.model_score(model, table, text[r.doc_id]), rel=1e-4)
 
 
 def test_hinge_model_separates():
