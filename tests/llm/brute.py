@@ -5,7 +5,9 @@ import re
 
 import numpy as np
 
-from tessera.llm import language_id, lm_scoring, quality_classifier, toxicity
+from tessera.llm import language_id
+from tessera.llm import line_dedup as line_dedup_module
+from tessera.llm import lm_scoring, quality_classifier, toxicity
 from tessera.llm import textblocks as tb
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -71,20 +73,84 @@ def longest_increasing(values):
     return max(best, default=0)
 
 
-def line_owners(rows, min_words):
-    """{(doc, version): [(place, key)]} and the first document of each key."""
-    own, lines = {}, {}
-    for d, version, text in sorted(set(rows), key=lambda r: (r[0], r[1], r[2] or "")):
-        seen, found = collections.Counter(), []
-        for place, line in enumerate((text or "").split("\n")):
-            line = line.strip(" \t\r\x0b\x0c")
-            if len(words(line)) >= min_words:
-                key = (line, seen[line])
-                seen[line] += 1
-                found.append((place, key))
-                own.setdefault(key, (d, version, place))
-        lines[d, version] = found
-    return lines, own
+def patience(a, b, i, m, j, n):
+    """Recursive patience diff of a[i:m] and b[j:n]."""
+    if i < m and j < n and a[i] == b[j]:
+        return [(i, j), *patience(a, b, i + 1, m, j + 1, n)]
+    if i < m and j < n and a[m - 1] == b[n - 1]:
+        return [*patience(a, b, i, m - 1, j, n - 1), (m - 1, n - 1)]
+    unique = [x for x in range(i, m) if a[i:m].count(a[x]) == 1 and b[j:n].count(a[x]) == 1]
+    spots = [j + b[j:n].index(a[x]) for x in unique]
+    out, low, there = [], i, j
+    for k in line_dedup_module.increasing(spots):
+        out += [*patience(a, b, low, unique[k], there, spots[k]), (unique[k], spots[k])]
+        low, there = unique[k] + 1, spots[k] + 1
+    return out + (patience(a, b, low, m, there, n) if unique else [])
+
+
+def strip(line):
+    return line.strip(" \t\r\x0b\x0c\n")
+
+
+def cut_against(own, theirs, min_words):
+    """Places of blocks that the lines ``own`` share with ``theirs``, turn after turn."""
+    gone = set()
+    while True:
+        a = [i for i, x in enumerate(own) if x and i not in gone and x in theirs]
+        b = [j for j, x in enumerate(theirs) if x and x in {own[i] for i in a}]
+        found = [(a[x], b[y]) for x, y in patience([own[i] for i in a], [theirs[j] for j in b], 0, len(a), 0, len(b))]
+        blocks = []
+        for i, j in found:
+            if blocks and not any(own[blocks[-1][-1][0] + 1 : i]) and not any(theirs[blocks[-1][-1][1] + 1 : j]):
+                blocks[-1].append((i, j))
+            else:
+                blocks.append([(i, j)])
+        spans = [range(x[0][0], x[-1][0] + 1) for x in blocks]
+        new = {k for x in spans if sum(len(words(own[k])) for k in x) >= min_words for k in x}
+        if not new - gone:
+            return gone
+        gone |= new
+
+
+def line_units(text, min_words):
+    """{line number: the least run of lines from it on with enough words, as one string}."""
+    found, raw = {}, (text or "").split("\n")
+    for i, line in enumerate(raw):
+        n = 0
+        for j in range(i, len(raw)):
+            n += len(words(raw[j]))
+            if words(line) and n >= min_words:
+                found[i] = strip("\n".join(raw[i : j + 1]))
+                break
+    return found
+
+
+def line_dedup(rows, min_words, rare):
+    """[(doc_id, text, n_lines, deleted)] for rows (doc_id, version, text)."""
+    order = sorted({(d, v, t) for d, v, t in rows if d is not None and t}, key=lambda r: r[:2])
+    units = {(d, v): line_units(t, min_words) for d, v, t in order}
+    lines = {(d, v): [strip(x) for x in t.split("\n")] for d, v, t in order}
+    holders = {}
+    for d, v, t in order:
+        for u in set(units[d, v].values()):
+            holders.setdefault(u, []).append((d, v))
+    gone, seen = {}, set()
+    for d, v, t in order:
+        own, mine = lines[d, v], set()
+        if t in seen and units[d, v]:
+            gone[d, v] = list(range(len(own)))
+            continue
+        seen.add(t)
+        for turn in (False, True):
+            covered = {own[k] for k in mine} if turn else set()
+            wanted = {holders[u][0] for u in units[d, v].values() if (len(holders[u]) > rare) == turn and holders[u][0] != (d, v) and u not in covered}
+            mine = mine.union(*(cut_against(own, lines[w], min_words) for w in wanted))
+        gone[d, v] = sorted(mine)
+    out = []
+    for d, v, t in rows:
+        lost = gone.get((d, v), []) if d is not None and t else []
+        out.append((d, "\n".join(x for i, x in enumerate((t or "").split("\n")) if i not in set(lost)), len((t or "").split("\n")) if t else 0, lost))
+    return out
 
 
 def near_vectors(rows, least=0.9):

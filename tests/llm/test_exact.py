@@ -175,50 +175,74 @@ def test_cascade_order_does_not_change_verdicts(spark):
     assert value == sorted(value, reverse=True)
 
 
-def test_line_dedup(spark):
-    rows = [*base_rows(spark), *[(d + 500, t) for d, t in ODD], (1000, f"{OTHER}\nx\n{LINE}\ny"), (1001, "\n".join(f"{LINE} number {i}" for i in range(30))), (1002, "\n".join(f"{LINE} number {i}" for i in [5, 6, 7, 1, 2, 20, 21, 22, 23]))]
-    docs = table(spark, rows)
-    got = line_dedup.dedup(docs)
-    assert "score" in got.columns
-    lines, own = brute.line_owners([(d, "", t) for d, t in rows], 8)
-    for r in got.collect():
-        text = next(t for d, t in rows if d == r.doc_id)
-        pairs = {}
-        for place, key in lines[r.doc_id, ""]:
-            d, _, there = own[key]
-            if d != r.doc_id:
-                pairs.setdefault(d, []).append((place, there))
-        assert r.n_deleted == sum(brute.longest_increasing([b for _, b in sorted(p)]) for p in pairs.values())
-        assert set(r.deleted) <= {a for p in pairs.values() for a, _ in p}
-        for p in pairs.values():
-            there = [b for a, b in sorted(p) if a in set(r.deleted)]
-            assert there == sorted(set(there))
-        assert r.text == (text if not r.deleted else "\n".join(x for i, x in enumerate(text.split("\n")) if i not in set(r.deleted)))
-    assert line_dedup.dedup(table(spark, [])).count() == 0
+PASSAGE = "\n".join(f"short line {i} of a passage" for i in range(12))
+LINES = [f"{LINE} number {i}" for i in range(30)]
 
 
-def test_line_dedup_extends_blocks(spark):
-    """Short and blank lines between deleted lines go too; an exact copy ends empty, whoever owns its lines."""
+def dedup_rows():
+    """Rows (id, text) with blocks of all kinds; the ids leave room for a corpus before them."""
     first = f"Short head\n\n{LINE} a\nshort middle\n\n{LINE} b\nend"
-    mixed = f"top\n{LINE} a\nsmall\n{LINE} b\nlast"
-    rows = [(1, first), (2, first), (3, f"own head\n{LINE} a\nshort middle\nown\n{LINE} b\nend\nown tail"), (4, mixed), (5, mixed), (6, "one two"), (7, "one two"), (8, "one two"), (8, "one two"), (2, first), (9, None)]
-    got = {r.doc_id: r.text for r in line_dedup.dedup(table(spark, rows), extend=True).collect()}
-    assert got == {1: first, 2: "", 3: "own head\nown\nown tail", 4: "top\nsmall\nlast", 5: "", 6: "one two", 7: "one two", 8: "one two", 9: None}
+    made = [
+        first, first, f"own head\n{LINE} a\nshort middle\nown\n{LINE} b\nend\nown tail", f"{OTHER}\nx\n{LINE}\ny",
+        LINES[5], LINES[2], "\n".join(LINES[:8]), "\n".join(["intro", *LINES[:8]]), "\n".join(LINES), "\n".join(LINES[i] for i in (5, 6, 7, 1, 2, 20, 21, 22, 23)),
+        f"mine\n{PASSAGE}\nmore of mine", f"{PASSAGE}\n{PASSAGE}\nother", PASSAGE, PASSAGE, "a few\nshort\nlines only", "a few\nshort\nlines only", f"  {LINES[9]}  \n\n\n{LINES[10]}",
+        f"{LINES[9]}\nput between\n{LINES[10]}\r\n",
+    ]
+    return [(2600 + i, t) for i, t in enumerate(made)]
+
+
+@pytest.mark.parametrize("rare", [1000, 2])
+def test_line_dedup(spark, rare):
+    rows = [*base_rows(spark), *[(d + 2500, t) for d, t in ODD], *dedup_rows(), (2602, "another text of an id that is not alone, with words enough"), (None, LINES[3]), (None, f"{LINES[3]}\nx")]
+    docs = spark.createDataFrame([(a, b, 3, "x", 1) for a, b in rows], "doc_id long, text string, n_lines int, deleted string, version int")
+    got = line_dedup.dedup(docs, rare=rare)
+    assert got.columns == ["doc_id", "text", "version", "n_lines", "n_deleted", "deleted"]
+    version = {(r.doc_id, r.text): r.v for r in docs.select("doc_id", "text", F.xxhash64("text").alias("v")).collect()}
+    expected = brute.line_dedup([(d, version[d, t], t) for d, t in rows], 8, rare)
+    found = sorted((-1 if r.doc_id is None else r.doc_id, r.text or "", r.n_lines, r.deleted) for r in got.collect())
+    assert found == sorted((-1 if d is None else d, text, n, gone) for d, text, n, gone in expected)
+    assert line_dedup.dedup(table(spark, [])).count() == 0
+
+
+def test_line_dedup_by_cases(spark):
+    """Blocks go whole, short and blank lines in them too, whoever owns their lines; an exact copy ends empty."""
+    rows = dedup_rows()
+    got = {r.doc_id - 2600: r.text for r in line_dedup.dedup(table(spark, rows)).collect()}
+    text = [t for _, t in rows]
+    assert got[0] == text[0] and got[1] == "" and got[2] == "own head\nown\nown tail" and got[3] == text[3]
+    assert got[6] == "\n".join(x for i, x in enumerate(LINES[:8]) if i not in (2, 5)) and got[7] == "intro" and got[9] == ""
+    assert got[11] == "other" and got[12] == got[13] == "" and got[14] == got[15] == text[15] and got[10] == text[10]
+    assert got[16] == "" and got[17] == "put between\n"
     base = base_rows(spark)
     seen, copies = set(), set()
     for d, t in sorted(base):
-        if t in seen and any(len(brute.words(x)) >= 8 for x in t.split("\n")):
+        if t in seen and len(brute.words(t)) >= 8:
             copies.add(d)
         seen.add(t)
     got = registry.op2_line_dedup(spark, DATA).collect()
     assert copies and all(r.text == "" and r.n_deleted == r.n_lines for r in got if r.doc_id in copies)
 
 
+def test_line_dedup_of_a_hot_owner(spark):
+    """Thousands of documents with one passage: its owner's pairs are split, and each document loses it."""
+    rows = [(i, f"own text {i} with a number of words that nobody has but {i}\n{LINE}\nshort end") for i in range(2500)]
+    got = line_dedup.dedup(table(spark, rows)).collect()
+    assert sum(r.n_deleted for r in got) == 2 * 2499 and all((r.deleted == [1, 2]) == (r.doc_id > 0) for r in got)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.integers(1, 6), max_size=14), st.lists(st.integers(1, 6), max_size=14))
+def test_patience(a, b):
+    found = line_dedup.patience(a, b)
+    assert found == brute.patience(a, b, 0, len(a), 0, len(b))
+    assert all(a[i] == b[j] for i, j in found) and all(x < y and u < v for (x, u), (y, v) in zip(found, found[1:]))
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(0, 20), max_size=25))
 def test_increasing(values):
     x = np.array(values, np.int64)
-    at = line_dedup.increasing(x)
+    at = line_dedup.increasing(values)
     assert len(at) == brute.longest_increasing(values) and (np.diff(x[at]) > 0).all() and (np.diff(at) > 0).all()
 
 
