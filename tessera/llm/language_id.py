@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from . import textblocks as tb
 from .nets import Adam, log_softmax
-from .runtime import prepare
+from .runtime import prepare, widened
 
 WINDOW = 128
 WIDTHS = (2,) * 6 + (3,) * 12 + (4,) * 14
@@ -189,7 +189,7 @@ def predict(docs: DataFrame, net: Network, text: str = "text") -> DataFrame:
     prepare(spark)
     sent = spark.sparkContext.broadcast(net)
     base = docs.select(*[c for c in docs.columns if c not in ("lang_pred", "score")])
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema), "lang_pred string, score double"])
+    schema = widened(base.schema, lang_pred="string", score="double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = sent.value

@@ -47,7 +47,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textblocks as tb
-from .runtime import drop_materialised, materialise, prepare
+from .runtime import drop_materialised, materialise, prepare, widened
 
 
 def increasing(values: list[int]) -> list[int]:
@@ -296,7 +296,7 @@ def dedup(docs: DataFrame, min_words: int = 8, text: str = "text", rare: int = 1
     n_lines = F.when(F.length(F.col(f"row.`{text}`")) > 0, breaks + 1).otherwise(0).cast("long")
     untouched = marked.where(~F.col("may")).select("row.*", n_lines.alias("n_lines"), F.lit(0).cast("long").alias("n_deleted"), F.array().cast("array<int>").alias("deleted"))
     joined = marked.where("may").select("row", "doc_id", "version", n_lines.alias("n")).join(lost, ["doc_id", "version"], "left").select("row", "n", "places")
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema), "n_lines long, n_deleted long, deleted array<int>"])
+    schema = widened(base.schema, n_lines="long", n_deleted="long", deleted="array<int>")
     names = base.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -44,6 +44,8 @@ from .runtime import drop_materialised, materialise, prepare
 TOKEN_BITS = 48
 #: Rows whose shingles a worker holds at once; their numbers take 16 bits in the blocks.
 MOST_ROWS = 1 << 12
+#: Bytes of text whose shingles a worker holds at once.
+MOST_BYTES = 1 << 23
 
 
 def shingle_sets(data: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -79,9 +81,14 @@ def _batch_sets(batch: pa.RecordBatch, text: str, n: int) -> tuple[np.ndarray, n
     return row, g, size, key
 
 
-def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    for i in range(0, batch.num_rows, MOST_ROWS):
-        yield batch.slice(i, MOST_ROWS)
+def _slices(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
+    """Runs of at most ``MOST_ROWS`` rows and about ``MOST_BYTES`` of text; a longer text stands alone."""
+    _, at = tb.buffers(batch.column(text))
+    i = 0
+    while i < batch.num_rows:
+        j = min(i + MOST_ROWS, max(i + 1, int(np.searchsorted(at, at[i] + MOST_BYTES, "right")) - 1))
+        yield batch.slice(i, j - i)
+        i = j
 
 
 def _planes(values: np.ndarray, width: int) -> bytes:
@@ -101,7 +108,7 @@ def _first_pass(docs: DataFrame, text: str, n: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in _slices(whole):
+            for batch in _slices(whole, text):
                 row, g, size, key = _batch_sets(batch, text, n)
                 _, one = np.unique(key, return_index=True)
                 chosen = np.zeros(batch.num_rows, bool)
@@ -130,7 +137,7 @@ def _blocks_of(docs: DataFrame, text: str, n: int, ranges: int, hot: np.ndarray)
         edges = (np.arange(ranges + 1, dtype=object) * (1 << TOKEN_BITS) // ranges) * 65536
         edges = np.array([min(x, (1 << 64) - 1) for x in edges], tb.U)
         for whole in batches:
-            for batch in _slices(whole):
+            for batch in _slices(whole, text):
                 row, g, size, key = _batch_sets(batch, text, n)
                 token = g >> tb.U(64 - TOKEN_BITS)
                 packed = (token << tb.U(16)) | row.astype(tb.U)
@@ -316,7 +323,11 @@ def _join_group(share: int, whole: int):
 
 
 def similar(docs: DataFrame, n: int = 3, share: int = 70, whole: int = 100, text: str = "text", most_hot: int = 200_000, block: int = 2000, range_rows: int = 1_000_000) -> DataFrame:
-    """(doc_id, version, n_shingles, n_similar, component_id) of every row; ``version`` is xxhash64 of the text; sets link when whole * intersection >= share * union."""
+    """(doc_id, version, n_shingles, n_similar, component_id, group) of every row.
+
+    ``version`` is xxhash64 of the text; ``group`` tells components apart whose
+    smallest ids are equal, as with repeated or missing ids.  Sets link when whole * intersection >= share * union.
+    """
     spark = docs.sparkSession
     prepare(spark)
     first = materialise(_first_pass(docs, text, n))
@@ -356,32 +367,30 @@ def similar(docs: DataFrame, n: int = 3, share: int = 70, whole: int = 100, text
     joined = classes.join(links, "key", "left").join(roots, "key", "left").where("copies > 1 or links is not null")
     joined = materialise(joined.withColumn("root", F.coalesce("root", "key")))
     names = joined.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    joined = joined.join(names, "root").select("key", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_similar"), "component_id", "copies")
+    joined = joined.join(names, "root").select("key", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_similar"), "component_id", "copies", F.col("root").alias("group"))
     joined = materialise(joined)
     for done in (live, pairs, groups, classes, found):
         drop_materialised(done)
     # Classes of at least count / 20,000 rows are at most 20,000: a proven bound for the broadcast.
     hot_at = max(1000, count // 20_000)
     big = F.broadcast(joined.where(F.col("copies") >= hot_at)).alias("big")
-    out = rows.join(big, "key", "left").withColumnsRenamed({"n_similar": "_n", "component_id": "_c"}).drop("copies")
+    out = rows.join(big, "key", "left").withColumnsRenamed({"n_similar": "_n", "component_id": "_c", "group": "_g"}).drop("copies")
     small = joined.where(F.col("copies") < hot_at).drop("copies")
     # Empty sets and rows that the broadcast has served get a key of their own, so that they don't meet in one task.
     out = out.withColumn("key", F.when(F.col("_n").isNull() & (F.col("n_shingles") > 0), F.col("key")).otherwise(F.xxhash64("doc_id", "key"))).join(small, "key", "left")
     served = F.col("_n").isNotNull()
-    return out.select("doc_id", "version", "n_shingles", F.when(served, F.col("_n")).otherwise(F.coalesce("n_similar", F.lit(0))).cast("long").alias("n_similar"), F.when(served, F.col("_c")).otherwise(F.coalesce("component_id", "doc_id")).alias("component_id"))
+    return out.select("doc_id", "version", "n_shingles", F.when(served, F.col("_n")).otherwise(F.coalesce("n_similar", F.lit(0))).cast("long").alias("n_similar"), F.when(served, F.col("_c")).otherwise(F.coalesce("component_id", "doc_id")).alias("component_id"), F.coalesce("_g", "group", F.xxhash64("doc_id", "version")).alias("group"))
 
 
 def one_of_each(docs: DataFrame, found: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` without all but one document (the smallest id, then version) of each group that ``similar`` found.
 
-    Repeated rows with equal id and text are one document, of which one row stays.
+    Repeated rows with equal id and text are one document, of which one row stays; a row without an id stands for a group only if all its rows have none.
     """
-    found = materialise(found.select("doc_id", "version", "component_id"))
+    found = materialise(found.select("doc_id", "version", "group"))
     # Documents with equal ids and texts are the only repetition left after the choice.
     again = found.groupBy("doc_id", "version").count().where("count > 1").limit(1).count()
-    # Rows without an id link with others, but do not stand for one group.
-    alone = F.when(F.col("component_id").isNull(), F.col("version"))
-    kept = found.groupBy("component_id", alone.alias("alone")).agg(F.min(F.struct("doc_id", "version")).alias("k")).select(F.col("k.doc_id").alias("d"), F.col("k.version").alias("v"))
+    kept = found.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "version")).alias("k")).select(F.col("k.doc_id").alias("d"), F.col("k.version").alias("v"))
     # The columns travel in a struct, so that no name of theirs can clash.
     packed = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("d0"), F.xxhash64(text).alias("v0"))
     out = packed.join(kept, F.col("d0").eqNullSafe(F.col("d")) & (F.col("v0") == F.col("v")), "left_semi")

@@ -8,14 +8,16 @@ lengths that comes closest to filling it; the counts are read back from the
 stored bit sets.  A window pattern is used as often as the histogram allows,
 so the work depends on the number of lengths, not of documents.
 
-Rows carry lengths and checksums, not ids, through the one shuffle.  They are
-spread by a hash over groups of about ``group_rows`` rows, each packed by
-itself, so no task or driver sees an unbounded set; a group leaves at most a
-few windows with a gap.
-
-Edge cases: a null or empty text is one piece holding the end id only;
-repeated rows are packed one by one; an empty table gives an empty table;
-further columns are ignored, whatever their names.
+Pieces are numbered in a written table of lengths and checksums.  Full windows
+are sequences already and are not shuffled; the remainders, which are counted,
+go by a hash of their number to groups of about ``group_rows`` rows, each packed
+by itself, so no task or driver sees an unbounded set, however many rows are
+equal or long; a group leaves at most a few windows with a gap.
+
+Edge cases: a null or empty text is one piece holding the end id only; null ids
+are kept; repeated rows are packed one by one; very long texts are cut into as
+many pieces as they need; an empty table gives an empty table; further columns
+are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bpe
-from .runtime import prepare
+from .runtime import materialise, prepare
 
 
 def fill(counts: dict[int, int], room: int) -> dict[int, int]:
@@ -124,10 +126,14 @@ def pieces(docs: DataFrame, path: str, window: int = 1024, end_id: int = 0, text
 
 def pack(docs: DataFrame, path: str, window: int = 1024, end_id: int = 0, group_rows: int = 100_000, text: str = "text") -> DataFrame:
     """The pieces of all documents with ``sequence_id`` and ``offset``."""
-    cut = pieces(docs, path, window, end_id, text)
-    groups = max(1, round(docs.count() * 1.5 / group_rows))
-    keyed = cut.withColumn("_group", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups)))
+    cut = materialise(pieces(docs, path, window, end_id, text).withColumn("_number", F.monotonically_increasing_id()))
     kind = cut.schema["doc_id"].dataType.simpleString()
+    columns = [c for c in cut.columns if c != "_number"]
+    # A full window is a sequence by itself: bit 62 keeps its number apart from those of the groups.
+    full = cut.where(F.col("length") == window).select(*columns, F.col("_number").bitwiseOR(F.lit(1 << 62)).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    rest = cut.where(F.col("length") < window)
+    groups = max(1, -(-rest.count() // group_rows))
+    keyed = rest.withColumn("_group", F.pmod(F.xxhash64("_number"), F.lit(groups))).drop("_number")
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["length", "doc_id", "start", "ids_crc32"], ascending=[False, True, True, True], kind="stable").reset_index(drop=True)
@@ -136,7 +142,8 @@ def pack(docs: DataFrame, path: str, window: int = 1024, end_id: int = 0, group_
         rows["offset"] = offset
         return rows.drop(columns="_group")
 
-    return keyed.groupBy("_group").applyInPandas(run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    packed = keyed.groupBy("_group").applyInPandas(run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return packed.unionByName(full)
 
 
 def sequences(docs: DataFrame, packed: DataFrame, path: str, window: int = 1024, end_id: int = 0, text: str = "text") -> DataFrame:

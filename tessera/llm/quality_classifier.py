@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textblocks as tb
-from .runtime import prepare
+from .runtime import prepare, widened
 
 BITS = 18
 SHAPE = np.arange(256, dtype=np.uint8)
@@ -193,7 +193,7 @@ def score(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
     prepare(spark)
     sent = spark.sparkContext.broadcast(model)
     base = docs.select(*[c for c in docs.columns if c != column])
-    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in base.schema)}, {column} double"
+    schema = widened(base.schema, **{column: "double"})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

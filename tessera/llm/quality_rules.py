@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textblocks as tb
-from .runtime import prepare
+from .runtime import prepare, widened
 
 SYMBOL = np.zeros(256, bool)
 SYMBOL[list(b"#*$%&|<>")] = True
@@ -170,7 +170,7 @@ def annotate(docs: DataFrame, text: str = "text", sample: int = 500) -> DataFram
     prepare(docs.sparkSession)
     order = [name for name, _, _ in plan(docs, text, sample)]
     base = docs.select(*[c for c in docs.columns if c not in COLUMNS])
-    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in base.schema)}, {', '.join(f'{k} {v}' for k, v in COLUMNS.items())}"
+    schema = widened(base.schema, **COLUMNS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -67,7 +67,7 @@ def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.similar(_table(spark, sf_dir, "documents")).drop("version")
+    return ngram_join.similar(_table(spark, sf_dir, "documents")).drop("version", "group")
 
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,6 +11,7 @@ from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 ROOT = str(Path(__file__).resolve().parents[2])
 
@@ -25,9 +26,11 @@ def prepare(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: the session's ``spark.checkpoint.dir``, a temporary one only where it is unset."""
+    """The folder all executors share: the session's ``spark.checkpoint.dir``; where it is unset a temporary one in local mode, an error on a cluster."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", found)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -56,6 +59,11 @@ def drop_materialised(df: DataFrame) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def widened(schema: T.StructType, **added: str) -> T.StructType:
+    """``schema`` with further fields (name = type)."""
+    return T.StructType([*schema.fields, *(T.StructField(k, T._parse_datatype_string(v)) for k, v in added.items())])
+
+
 def fold(doc_id: Column | str, n: int) -> Column:
     """crc32 of the id as text, modulo ``n``."""
     column = F.col(doc_id) if isinstance(doc_id, str) else doc_id

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from . import textblocks as tb
 from .nets import Adam, add_rows
 from .quality_classifier import labelled_sample, one_row_each
-from .runtime import prepare
+from .runtime import prepare, widened
 
 BITS, DIM, REACH = 20, 8, 3
 WIDTHS = (1,) * 12 + (2,) * 8 + (3,) * 8
@@ -232,7 +232,7 @@ def score(docs: DataFrame, net: Network, column: str = "score", text: str = "tex
     prepare(spark)
     sent = spark.sparkContext.broadcast(net)
     base = docs.select(*[c for c in docs.columns if c != column])
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema), f"{column} double"])
+    schema = widened(base.schema, **{column: "double"})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

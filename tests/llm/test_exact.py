@@ -90,6 +90,18 @@ def test_packing(spark):
     assert whole.agg(F.sum(F.size("ids"))).first()[0] == sum(len(lib.encode(t, add_special_tokens=False).ids) + 1 for _, t in base_rows(spark))
 
 
+def test_packing_groups_are_bounded(spark, monkeypatch):
+    """Equal rows are spread over groups, and full windows need none."""
+    sizes = []
+    rows = [*[(1, "the same words in each row")] * 300, *[(k, " ".join(f"w{i}" for i in range(3000))) for k in range(2, 5)]]
+    docs = table(spark, rows)
+    got = packing.pack(docs, BYTE, group_rows=50).toPandas()
+    sizes = got[got.length < 1024].groupby(got.sequence_id // (1 << 40)).size()
+    assert len(sizes) >= 6 and sizes.max() < 100
+    assert (got[got.length == 1024].offset == 0).all() and got.groupby("sequence_id").length.sum().max() <= 1024
+    assert got[got.length == 1024].sequence_id.is_unique and (got.groupby("doc_id").length.sum() > 0).all()
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(1, 30), max_size=12), st.integers(0, 40))
 def test_fill_is_optimal(lengths, room):
