@@ -4,16 +4,19 @@ from __future__ import annotations
 
 import re
 import time
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.vectors import register as register_vectors
 from ..sources.catalog import Catalog
-from ..sources.pruning import Predicate
+from ..sources.pruning import Predicate, PruningStats, can_prune
+from .pushdown import filters
 
 _CREATE = re.compile(r"\s*create\s+table\s+(if\s+not\s+exists\s+)?(\w+)\s*\((.*)\)\s*;?\s*$", re.I | re.S)
+_INSERT = re.compile(r"\s*insert\s+into\s+(?:table\s+)?(\w+)\s+((?:select|values|with|from|table)\b.*?);?\s*$", re.I | re.S)
 _DROP = re.compile(r"\s*drop\s+table\s+(if\s+exists\s+)?(\w+)\s*;?\s*$", re.I)
 
 
@@ -24,6 +27,7 @@ class QueryResult:
     frame: DataFrame
     elapsed_ms: float
     affected_rows: int | None = None
+    pruning: dict[str, PruningStats] = field(default_factory=dict)
 
     def collect(self) -> list:
         began = time.perf_counter()
@@ -37,20 +41,20 @@ class Session:
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.catalog = spark, Catalog(spark, path)
-        self.registered: set[str] = set()
+        self.registered: dict[str, tuple] = {}
         register_vectors(spark)
 
     def register_table(self, name: str, predicates: list[Predicate] | tuple = ()) -> None:
-        """Bind the table's present fragments to its name; with predicates only the fragments and rows that match."""
+        """Bind a table to its name; with predicates only the rows that match.  Its fragments are listed anew for every query."""
         self.catalog.scan(name, predicates).createOrReplaceTempView(name)
-        self.registered.add(name)
+        self.registered[name] = tuple(predicates)
 
     def register_all(self) -> None:
         for name in self.catalog.list_tables():
             self.register_table(name)
 
     def unregister_table(self, name: str) -> bool:
-        self.registered.discard(name)
+        self.registered.pop(name, None)
         return self.spark.catalog.dropTempView(name)
 
     def list_tables(self) -> list[str]:
@@ -62,12 +66,56 @@ class Session:
         return self.catalog.schema(name)
 
     def execute(self, query: str) -> QueryResult:
-        """A query, or CREATE TABLE / DROP TABLE on the catalog."""
+        """A query, CREATE TABLE / DROP TABLE on the catalog, or INSERT INTO a table of it."""
+        if _CREATE.match(query) or _DROP.match(query):
+            began = time.perf_counter()
+            return QueryResult(self.execute_ddl(query), (time.perf_counter() - began) * 1000)
+        return self.execute_dml(query) if _INSERT.match(query) else self.execute_select(query)
+
+    def execute_select(self, query: str) -> QueryResult:
+        """Only fragments that the query's own filters can't rule out are opened.
+
+        The query is planned over all fragments first; the filters that the
+        optimizer pushed down to the scans then choose the fragments to bind.
+        """
         began = time.perf_counter()
-        frame = self.execute_ddl(query) if _CREATE.match(query) or _DROP.match(query) else self.spark.sql(query)
-        return QueryResult(frame, (time.perf_counter() - began) * 1000)
-
-    execute_select = execute_dml = execute
+        named = [n for n in self.registered if re.search(rf"\b{re.escape(n)}\b", query)]
+        for name in named:
+            self.register_table(name, self.registered[name])
+        frame, stats = self.spark.sql(query), {}
+        places = filters(frame)
+        for name in named:
+            wanted = places.get(name)
+            if not wanted or None in wanted:
+                continue
+            schema, every = self.catalog.schema(name), self.catalog.fragments(name)
+            own = list(self.registered[name])
+            kept = [f for f in every if not any(can_prune(p, f.row_count, f.columns, schema) for p in own) and not all(can_prune(p, f.row_count, f.columns, schema) for p in wanted)]
+            stats[name] = PruningStats(len(every), len(kept), sum(f.row_count for f in every), sum(f.row_count for f in kept))
+            if len(kept) < len(every):
+                rows = self.catalog.open(name, kept)
+                for p in own:
+                    rows = rows.where(p.expression())
+                rows.createOrReplaceTempView(name)
+        if any(x.pruned_fragments for x in stats.values()):
+            frame = self.spark.sql(query)
+        return QueryResult(frame, (time.perf_counter() - began) * 1000, pruning=stats)
+
+    def execute_dml(self, query: str) -> QueryResult:
+        """INSERT INTO a catalog table: its rows, cast to the table's types by place, become fragments."""
+        m = _INSERT.match(query)
+        if not m:
+            raise ValueError("only INSERT INTO ... SELECT or VALUES changes data here")
+        began = time.perf_counter()
+        schema, rows = self.catalog.schema(m[1]), self.execute_select(m[2]).frame
+        if len(rows.columns) != len(schema):
+            raise ValueError(f"{m[1]} has {len(schema)} columns, the query {len(rows.columns)}")
+        cast = rows.toDF(*schema.names).select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in schema])
+        before = self.catalog.row_count(m[1])
+        with self.catalog.writer(m[1]) as writer:
+            writer.write(cast)
+        made = self.catalog.row_count(m[1]) - before
+        return QueryResult(self.spark.createDataFrame([(made,)], "affected_rows long"), (time.perf_counter() - began) * 1000, made)
 
     def execute_ddl(self, text: str) -> DataFrame:
         if m := _CREATE.match(text):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import SparkSession
 
 
@@ -23,6 +25,13 @@ class Files:
     def size(self, rel: str) -> int:
         return self.fs.getFileStatus(self._path(rel)).getLen()
 
+    def age(self, rel: str) -> float:
+        """Seconds since a file was written; 0 for one that is gone."""
+        try:
+            return time.time() - self.fs.getFileStatus(self._path(rel)).getModificationTime() / 1000
+        except Exception:
+            return 0.0
+
     def names(self, rel: str) -> list[str]:
         return sorted(s.getPath().getName() for s in self.fs.listStatus(self._path(rel))) if self.exists(rel) else []
 

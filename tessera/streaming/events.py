@@ -6,6 +6,8 @@ state of a stream is bounded by the lateness allowed.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -42,15 +44,20 @@ def sessions(events: DataFrame, gap: str, key: str = "user_id", ts: str = "ts",
 def append_to(stream: DataFrame, catalog: Catalog, table: str, checkpoint: str, config: WriteConfig | None = None) -> StreamingQuery:
     """Write every micro-batch as fragments of a table.
 
-    A batch number is stored with its fragments' ids, so a batch that runs again after a failure replaces itself.
+    The stream's id, which its checkpoint keeps over restarts, and the batch
+    number are part of the fragments' ids, so a batch that runs again after a
+    failure replaces itself, and nothing else: neither another stream into the
+    table nor the same one with a new checkpoint loses rows.
     """
     schema, config = catalog.schema(table), config or WriteConfig()
 
     def store(rows: DataFrame, number: int) -> None:
+        own = rows.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or hashlib.sha256(checkpoint.encode()).hexdigest()[:32]
+        prefix = f"batch-{own}-{number}-"
         new = write_fragments(catalog, rows, schema, config)
         for i, f in enumerate(new):
-            f.id = f"batch-{number}-{i}"
-        again = tuple(f.id for f in catalog.fragments(table) if f.id.startswith(f"batch-{number}-"))
+            f.id = f"{prefix}{i}"
+        again = tuple(f.id for f in catalog.fragments(table) if f.id.startswith(prefix))
         if new or again:
             catalog.add_fragments(table, new, again)
 
