@@ -32,6 +32,18 @@ class InvertedIndex:
     def empty(cls, spark: SparkSession) -> "InvertedIndex":
         return cls(spark.createDataFrame([], "term string, doc_id long"))
 
+    def save(self, path: str) -> None:
+        """Sorted by ranges of terms over files: statistics then prune what a search does not need."""
+        self.postings.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode("overwrite").option("parquet.page.row.count.limit", "20000").parquet(path)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> "InvertedIndex":
+        return cls(spark.read.parquet(path))
+
+    def add_text(self, rows: DataFrame, doc_id: str, column: str) -> "InvertedIndex":
+        """With the words of further texts."""
+        return self.add(text_terms(rows, doc_id, column))
+
     def add(self, more: DataFrame) -> "InvertedIndex":
         return InvertedIndex(self.postings.unionByName(more.select("term", "doc_id")).distinct())
 
@@ -63,6 +75,22 @@ class BitmapIndex:
         made = rows.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value"), F.bitmap_bucket_number(F.col(doc_id)).alias("bucket"))
         return cls(made.agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col(doc_id))).alias("bits")))
 
+    def _bits(self, rows: DataFrame) -> DataFrame:
+        keyed = rows.groupBy("value", F.bitmap_bucket_number("doc_id").alias("bucket"))
+        return keyed.agg(F.bitmap_construct_agg(F.bitmap_bit_position("doc_id")).alias("bits"))
+
+    def add(self, more: DataFrame) -> "BitmapIndex":
+        """With further (value, doc_id) rows; bits that are set stay set."""
+        both = self.bitmaps.unionByName(self._bits(more.where(F.col("value").isNotNull())))
+        return BitmapIndex(both.groupBy("value", "bucket").agg(F.bitmap_or_agg("bits").alias("bits")))
+
+    def remove(self, gone: DataFrame) -> "BitmapIndex":
+        """Without these (value, doc_id) rows: only bit maps of their values and buckets are taken apart."""
+        touched = gone.select("value", F.bitmap_bucket_number("doc_id").alias("bucket")).distinct()
+        open_ = BitmapIndex(self.bitmaps.join(touched, ["value", "bucket"], "left_semi"))
+        left = open_.pairs().join(gone.select("value", "doc_id"), ["value", "doc_id"], "left_anti")
+        return BitmapIndex(self.bitmaps.join(touched, ["value", "bucket"], "left_anti").unionByName(self._bits(left)))
+
     def counts(self) -> DataFrame:
         return self.bitmaps.groupBy("value").agg(F.sum(F.bitmap_count("bits")).alias("n"))
 
@@ -71,15 +99,19 @@ class BitmapIndex:
 
     def documents(self, value) -> DataFrame:
         """Document numbers of a value, ascending when ordered by doc_id."""
+        return BitmapIndex(self.bitmaps.where(F.col("value") == value)).pairs().select("doc_id")
+
+    def pairs(self) -> DataFrame:
+        """(value, doc_id) of every set bit."""
         per = 8 * 4096
         byte = F.explode(F.sequence(F.lit(0), F.length("bits") - 1))
-        rows = self.bitmaps.where(F.col("value") == value).select("bucket", "bits", byte.alias("byte"))
-        rows = rows.select("bucket", "byte", F.conv(F.hex(F.substring("bits", F.col("byte") + 1, F.lit(1))), 16, 10).cast("int").alias("b")).where("b > 0")
-        rows = rows.select("bucket", "byte", "b", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("bit")).where(F.expr("shiftright(b, bit) & 1 = 1"))
+        rows = self.bitmaps.select("value", "bucket", "bits", byte.alias("byte"))
+        rows = rows.select("value", "bucket", "byte", F.conv(F.hex(F.substring("bits", F.col("byte") + 1, F.lit(1))), 16, 10).cast("int").alias("b")).where("b > 0")
+        rows = rows.select("value", "bucket", "byte", "b", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("bit")).where(F.expr("shiftright(b, bit) & 1 = 1"))
         at = F.col("byte") * 8 + F.col("bit")
         # Buckets from 1 on hold positive numbers from 1; those up to 0 hold zero and negative ones, downwards.
         number = F.when(F.col("bucket") > 0, (F.col("bucket") - 1) * per + at + 1).otherwise(F.col("bucket") * per - at)
-        return rows.select(number.cast("long").alias("doc_id"))
+        return rows.select("value", number.cast("long").alias("doc_id"))
 
     def contains(self, value, doc: int) -> bool:
         return self.documents(value).where(F.col("doc_id") == doc).limit(1).count() > 0

@@ -8,13 +8,12 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 
 from . import engine, surface, tpch
-from .tables import run_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 for _name, _text in tpch.QUERIES.items():
-    QUERIES[_name] = partial(lambda spark, sf_dir, text: run_sql(spark, sf_dir, text), text=_text)
+    QUERIES[_name] = partial(tpch.run, name=_name)
     ORACLE[_name] = _text
 QUERIES |= surface.Q | engine.Q
 ORACLE |= surface.SQL | engine.SQL
