@@ -184,8 +184,27 @@ class Vocabulary:
         self.start = np.zeros(1 << 16, np.int64)
         self.count = np.zeros(1 << 16, np.int64)
         self.flat = np.zeros(1 << 18, np.uint32)
+        self.seen = np.zeros(1 << 16, np.int32)
         self.used = self.entries = 0
 
+    def forget(self, most: int) -> None:
+        """Drop the pieces that one block only had, and the rarer ones beyond ``most``."""
+        self._settle()
+        often = self.seen[self.places]
+        kept = np.flatnonzero(often > 1)
+        if len(kept) > most:
+            kept = np.sort(kept[np.argsort(-often[kept], kind="stable")[:most]])
+        keys, places = self.keys[kept], self.places[kept]
+        start, count, flat, seen = self.start[places], self.count[places], self.flat, self.seen[places]
+        self.clear()
+        ends = np.cumsum(count)
+        self.entries, self.used = len(keys), int(ends[-1]) if len(ends) else 0
+        self.flat = np.resize(flat[np.repeat(start - (ends - count), count) + np.arange(self.used)], max(self.used, 1 << 18))
+        size = max(self.entries, 1 << 16)
+        # Counted anew, so that pieces of other texts can take their place.
+        self.start, self.count, self.seen = np.resize(ends - count, size), np.resize(count, size), np.resize(seen // 2, size)
+        self.keys, self.places = keys, np.arange(self.entries)
+
     def _settle(self) -> None:
         """Move the recent entries into the sorted arrays, which take a tenth of the memory."""
         keys = np.concatenate([self.keys, np.fromiter(self.known, tb.U, len(self.known))])
@@ -216,7 +235,7 @@ class Vocabulary:
         key = a << 20 | b
         found = self.fits.get(key)
         if found is None:
-            if len(self.fits) > 2_000_000:
+            if len(self.fits) > 500_000:
                 self.fits.clear()
             found = self.fits[key] = self._compatible(a, b)
         return found
@@ -282,10 +301,10 @@ class Vocabulary:
     def _add(self, key: int, ids: list[int]) -> int:
         place, n = self.entries, len(ids)
         if place >= len(self.start):
-            self.start, self.count = np.resize(self.start, 2 * place), np.resize(self.count, 2 * place)
+            self.start, self.count, self.seen = (np.resize(x, 2 * place) for x in (self.start, self.count, self.seen))
         if self.used + n > len(self.flat):
             self.flat = np.resize(self.flat, 2 * len(self.flat) + n)
-        self.start[place], self.count[place] = self.used, n
+        self.start[place], self.count[place], self.seen[place] = self.used, n, 0
         self.flat[self.used : self.used + n] = ids
         self.used += n
         self.known[key] = place
@@ -316,10 +335,10 @@ class Vocabulary:
                     ids += self.encode_piece(piece)
         return ids
 
-    def encode_block(self, texts: list[str], most_cached: int = 1_500_000) -> tuple[np.ndarray, np.ndarray]:
+    def encode_block(self, texts: list[str], most_cached: int = 600_000) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, offsets by text)."""
         if self.entries > most_cached:
-            self.clear()
+            self.forget(most_cached // 2)
         elif len(self.known) > 60_000:
             self._settle()
         ready = [self.prepared(t) for t in texts]
@@ -354,6 +373,7 @@ class Vocabulary:
                 piece = cp[a:b].tobytes().decode("utf-32-le").encode().decode("latin-1").translate(self.map)
                 ids = self.encode_piece(piece)
             found[i] = self._add(int(keys[i]), ids)
+        self.seen[found] += 1
         place = found[inverse]
         count = self.count[place]
         ends = np.cumsum(count)
@@ -385,10 +405,12 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-def text_blocks(column: pa.Array, most_chars: int = 1 << 20) -> Iterator[list[str]]:
+def text_blocks(column: pa.Array, most_chars: int = 1 << 19) -> Iterator[list[str]]:
     """Runs of whole texts; null as empty."""
     block, size = [], 0
-    for t in column.to_pylist() if not isinstance(column, list) else column:
+    # A few rows at a time: the texts of a whole batch as strings would stand beside it.
+    rows = column if isinstance(column, list) else (t for i in range(0, len(column), 512) for t in column.slice(i, 512).to_pylist())
+    for t in rows:
         t = t or ""
         if block and size + len(t) > most_chars:
             yield block

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from . import textblocks as tb
 from .components import components
-from .runtime import drop_materialised, materialise, prepare
+from .runtime import drop_materialised, give_back, materialise, prepare
 
 TOKEN_BITS = 48
 #: Rows whose shingles a worker holds at once; their numbers take 16 bits in the blocks.
@@ -108,6 +108,7 @@ def _first_pass(docs: DataFrame, text: str, n: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
+            give_back()
             for batch in _slices(whole, text):
                 row, g, size, key = _batch_sets(batch, text, n)
                 _, one = np.unique(key, return_index=True)
@@ -137,6 +138,7 @@ def _blocks_of(docs: DataFrame, text: str, n: int, ranges: int, hot: np.ndarray)
         edges = (np.arange(ranges + 1, dtype=object) * (1 << TOKEN_BITS) // ranges) * 65536
         edges = np.array([min(x, (1 << 64) - 1) for x in edges], tb.U)
         for whole in batches:
+            give_back()
             for batch in _slices(whole, text):
                 row, g, size, key = _batch_sets(batch, text, n)
                 token = g >> tb.U(64 - TOKEN_BITS)

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bpe
-from .runtime import materialise, prepare
+from .runtime import give_back, materialise, prepare
 
 
 def fill(counts: dict[int, int], room: int) -> dict[int, int]:
@@ -100,6 +100,7 @@ def pieces(docs: DataFrame, path: str, window: int = 1024, end_id: int = 0, text
     rows = docs.select("doc_id", text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         v = bpe.vocabulary(path)
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
@@ -120,6 +121,8 @@ def pieces(docs: DataFrame, path: str, window: int = 1024, end_id: int = 0, text
                     i += 1
             columns = [batch.column("doc_id").take(pa.array(at, pa.int64())), *(pa.array(x, pa.int64()) for x in (start, length, crc, tokens))]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+            del batch, columns
+            give_back()
 
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long")
 

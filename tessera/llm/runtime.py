@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import shutil
 import tempfile
 import uuid
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,6 +27,14 @@ def prepare(spark: SparkSession) -> None:
         env.setdefault(name, "1")
 
 
+def give_back() -> None:
+    """Return memory that is free inside this process to the system: workers are kept and used again, several an executor."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: the session's ``spark.checkpoint.dir``; where it is unset a temporary one in local mode, an error on a cluster."""
     found = spark.conf.get("spark.checkpoint.dir", None)

@@ -329,3 +329,18 @@ def test_hashes_of_very_long_texts(monkeypatch):
 
 def test_queries_are_registered():
     assert [n.split("_")[0] for n in registry.QUERIES] == [f"op{i}" for i in range(1, 11)]
+
+
+def test_bpe_cache_is_bounded():
+    """A cache of a few pieces, dropped again and again, changes no id, holds no more than its bound and a block, and keeps what recurs."""
+    import public_tokenizers
+
+    v, free = (bpe.Vocabulary(public_tokenizers.path("byte_bpe_50k.json")) for _ in range(2))
+    for k in range(40):
+        block = [f"always the same words {k * 1000 + i}q{i * 7919 % 1000}" for i in range(100)]
+        ids, cut = v.encode_block(block, most_cached=500)
+        more, at = free.encode_block(block)
+        assert (ids == more).all() and (cut == at).all() and v.entries <= 500 + 600
+    assert free.entries > 1100
+    v.forget(10)
+    assert 0 < v.entries <= 10 and (v.encode_block(["always the same"])[0] == free.encode_block(["always the same"])[0]).all()
