@@ -22,7 +22,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import line_dedup, ngram_join, packing, quality_classifier, quality_rules
-from tessera.llm.runtime import fold, materialise
+from tessera.llm.components import components
+from tessera.llm.runtime import drop_materialised, drop_shuffles, fold, materialise
 
 #: No SQL: a trained model, an alignment and a packing search have no SQL form; tests compare with brute force.
 ORACLE_SQL = None
@@ -69,10 +70,11 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document (the smallest id) of each group of similar ones among ``docs``.
 
-    Documents are compared by the texts they had before lines were cut, found by
-    id in ``documents``: what is left of a near copy once common lines are gone
-    no longer resembles its original.  Where ids are missing or repeated, or a
-    document is not found there, the texts as they are now are compared.
+    Two documents are linked if they are similar now, or were before lines were
+    cut (texts found by id in ``documents``): what is left of a near copy once
+    common lines are gone no longer resembles its original, and what is left of
+    others may be alike only then.  Where ids are missing or repeated, or a
+    document is not found there, only the texts as they are now are compared.
     """
     source = spark.read.parquet(f"{sf_dir}/documents.parquet")
     ids = docs.select("doc_id")
@@ -83,11 +85,21 @@ def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         if not odd:
             # Written once: the join below reads the texts twice.
             before = materialise(source.select("doc_id", "text").join(ids, "doc_id", "left_semi"))
-            one = ngram_join.similar(before).where("doc_id = component_id").select("doc_id")
-            return docs.join(one, "doc_id", "left_semi").select(*docs.columns)
+            links = _links(before)
+            drop_materialised(before)
+            # Else both comparisons have their shuffle files on disk at once.
+            drop_shuffles(spark)
+            links = links.unionByName(_links(docs))
+            gone = components(links, "doc_id", "component_id").where("id != root").select(F.col("id").alias("doc_id"))
+            return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
     return ngram_join.one_of_each(docs, ngram_join.similar(docs))
 
 
+def _links(docs: DataFrame) -> DataFrame:
+    """(doc_id, component_id) of the documents that have a smaller one in their component."""
+    return materialise(ngram_join.similar(docs).where("doc_id != component_id").select("doc_id", "component_id"))
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The kept documents as packed pieces; a null or empty text is one piece with the end id."""
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))

@@ -79,3 +79,13 @@ def test_one_of_each_keeps_unlinked_rows_of_an_id(spark):
     docs = spark.createDataFrame([(1, "one text of its own here"), (1, "quite another one than that"), (2, "one text of its own here")], "doc_id long, text string")
     left = ngram_join.one_of_each(docs, ngram_join.similar(docs)).collect()
     assert sorted(r.text for r in left) == ["one text of its own here", "quite another one than that"]
+
+
+def test_near_copies_by_texts_before_and_after_the_cut(spark, tmp_path):
+    """1 and 2 are alike once their first lines are cut, 3 and 4 only before; 5, which links to 4 now, joins their group."""
+    word = lambda a, k: " ".join(f"{a}{i}" for i in range(k))
+    before = [(1, word("x", 60) + "\n" + word("p", 30)), (2, word("y", 60) + "\n" + word("p", 30) + " end"), (3, word("z", 60) + "\n" + word("q", 10)), (4, word("z", 60) + "\n" + word("r", 10)), (5, word("v", 60) + "\n" + word("r", 10)), (6, word("u", 30))]
+    after = [(d, t if d in (3, 6) else t.split("\n")[1]) for d, t in before]
+    spark.createDataFrame(before, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    single = P.dedup_near(spark, spark.createDataFrame(after, "doc_id long, text string"), str(tmp_path))
+    assert {r.doc_id: r.text for r in single.collect()} == {d: t for d, t in after if d in (1, 3, 6)}
