@@ -10,12 +10,12 @@ before it (log-bilinear).  Symbols are grouped by their neighbours into
 clusters; the probability is that of the cluster times that of the symbol in
 its cluster.  The counts of words and of pairs of neighbouring symbols cover
 all training documents; they make the clusters, and the factors of their
-log-ratios are the first vectors.  Then both parts are trained in numpy with
-noise-contrastive estimation, in ``rounds`` rounds: in each, every document
-gives one in ``share`` of its positions, every partition of the documents
-trains on those it holds from the same weights, and the weights are averaged
-by numbers of positions.  What is learnt from thus grows with the corpus, and
-no text moves; the number of symbols (``words``) is the size of the model.
+log-ratios are the first vectors.  Then both parts are trained in numpy by
+their exact gradients, on every position of every document, once, in ``rounds``
+rounds: in each, every document gives the next share of its positions, every
+partition of the documents trains on those it holds from the same weights, and
+the weights are averaged by numbers of positions.  No text moves; the number of
+symbols (``words``) is the size of the model.
 Scoring is normalised exactly, by batched matrix products over cluster and
 symbol tables.
 
@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textblocks as tb
-from .nets import Adam, log_softmax
+from .nets import Adam
 from .runtime import materialise, prepare
 
 FORMS, CONTEXT, DIM = 96, 4, 24
@@ -114,14 +114,18 @@ class Model:
         symbol, count = symbol[inverse], count[inverse]
         return np.where(symbol >= 0, symbol, self.words + 1 + form), count
 
-    def rows(self, symbol: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(symbols with the end of each text, their text, symbols before them)."""
+    def texts(self, symbol: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(symbols with the end of each text, their text, their place in it)."""
         count = np.bincount(doc, minlength=n)
         at = np.concatenate([[0], np.cumsum(count + 1)])
         full = np.full(at[-1], self.words, np.int64)
         full[np.arange(len(symbol)) + doc] = symbol
         own = np.repeat(np.arange(n), count + 1)
-        spot = np.arange(len(full)) - at[:-1][own]
+        return full, own, np.arange(len(full)) - at[:-1][own]
+
+    def rows(self, symbol: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(symbols with the end of each text, their text, symbols before them)."""
+        full, own, spot = self.texts(symbol, doc, n)
         before = np.full((len(full), CONTEXT), self.words, np.int64)
         for k in range(CONTEXT):
             ok = np.flatnonzero(spot > k)
@@ -129,31 +133,37 @@ class Model:
         return full, own, before
 
     def query(self, before: np.ndarray) -> np.ndarray:
-        q = self.p["r"][before[:, 0]] * self.p["a"][0]
+        q = (self.p["r"] * self.p["a"][0]).take(before[:, 0], axis=0)
         for k in range(1, CONTEXT):
-            q += self.p["r"][before[:, k]] * self.p["a"][k]
+            q += (self.p["r"] * self.p["a"][k]).take(before[:, k], axis=0)
         return q
 
     def log_probability(self, full: np.ndarray, before: np.ndarray) -> np.ndarray:
         """Natural log-probability of each symbol, normalised over all."""
         out = np.empty(len(full), np.float64)
         for a in range(0, len(full), 16384):
-            target = full[a : a + 16384]
-            q = self.query(before[a : a + 16384])
-            c = self.cluster[target]
-            lp = log_softmax(q @ self.p["s"].T + self.p["t"])
-            got = lp[np.arange(len(c)), c].astype(np.float64)
+            # By cluster, and positions in columns, where sums over symbols are fast.
+            c = self.cluster[full[a : a + 16384]].astype(np.uint16)
             order = np.argsort(c, kind="stable")
-            cut = np.searchsorted(c[order], np.arange(len(self.members) + 1))
+            target, c = full[a : a + 16384][order], c[order].astype(np.int64)
+            q = np.ascontiguousarray(self.query(before[a : a + 16384].take(order, axis=0)).T)
+            got = _log_share(self.p["s"] @ q + self.p["t"][:, None], c)
+            cut = np.searchsorted(c, np.arange(len(self.members) + 1)).tolist()
             for k, m in enumerate(self.members):
-                at = order[cut[k] : cut[k + 1]]
-                if len(at) and len(m) > 1:
-                    inner = log_softmax(q[at] @ self.p["o"][m].T + self.p["b"][m])
-                    got[at] += inner[np.arange(len(at)), self.place[target[at]]]
-            out[a : a + 16384] = got
+                i, j = cut[k], cut[k + 1]
+                if i < j and len(m) > 1:
+                    got[i:j] += _log_share(self.p["o"][m] @ q[:, i:j] + self.p["b"][m][:, None], self.place[target[i:j]])
+            out[a : a + 16384][order] = got
         return out
 
 
+def _log_share(x: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """The log-softmax of each column at its ``row``."""
+    x -= x.max(axis=0)
+    own = x[row, np.arange(len(row))].astype(np.float64)
+    return own - np.log(np.exp(x, out=x).sum(axis=0))
+
+
 def clusters(pairs: np.ndarray, count: int, most: int = 64, seed: int = 31) -> np.ndarray:
     """Cluster of each symbol, by spectral coordinates of its neighbours, cut to at most ``most`` members."""
     weight = np.sqrt(pairs + pairs.T)
@@ -214,52 +224,63 @@ def _sums(keys: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
     k = keys[order]
     first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
     out = np.zeros((size, values.shape[1]), np.float32)
-    out[k[first]] = np.add.reduceat(values[order], first, axis=0)
+    out[k[first]] = np.add.reduceat(values.take(order, axis=0), first, axis=0)
     return out
 
 
-def descend(model: Model, full: np.ndarray, before: np.ndarray, symbol_count: np.ndarray, rate: float, rng: np.random.Generator, batch: int = 512, noise: int = 12) -> None:
-    """Noise-contrastive training from the model's weights, once over the positions (symbol, symbols before it); ``symbol_count`` gives the noise."""
-    size, k, p = len(symbol_count), len(model.members), model.p
-    mass = np.bincount(model.cluster, weights=symbol_count, minlength=k)
-    log_cluster = np.log(mass / mass.sum()).astype(np.float32)
-    log_inner = np.log(symbol_count / mass[model.cluster]).astype(np.float32)
-    width = max(len(m) for m in model.members)
-    # Noise inside a cluster is drawn through its cumulative shares.
-    steps = np.ones((k, width))
-    ids = np.zeros((k, width), np.int64)
-    for c, m in enumerate(model.members):
-        steps[c, : len(m)] = np.cumsum(np.exp(log_inner[m].astype(np.float64)))
-        steps[c, len(m) - 1 :] = 2.0
-        ids[c, : len(m)] = m
+def descend(model: Model, full: np.ndarray, spot: np.ndarray, chosen: np.ndarray, rate: float, rng: np.random.Generator, batch: int = 4096, least: int = 256) -> None:
+    """Training from the model's weights, once over the positions ``chosen`` of whole texts in a row (symbols, places in their text), by the exact gradients of both levels.
+
+    Few positions go in batches of ``least``, so that there are steps enough.
+    """
+    size, k = len(model.cluster), len(model.members)
+    # Members of a cluster stand together while the weights are trained.
+    by_cluster = np.concatenate(model.members)
+    p = model.p | {"o": model.p["o"][by_cluster], "b": model.p["b"][by_cluster]}
+    edge = np.concatenate([[0], np.cumsum([len(m) for m in model.members])]).tolist()
+    cluster = model.cluster.astype(np.min_scalar_type(k))
     adam = Adam(rate)
-    n = max(1, len(full) // batch)
-    log_k = np.float32(np.log(noise))
-    for step, take in enumerate(np.array_split(rng.permutation(len(full)), n)):
+    n = max(1, len(chosen) // min(batch, max(least, len(chosen) // 200)))
+    for step, take in enumerate(np.array_split(rng.permutation(chosen), n)):
         adam.rate = rate * max(0.05, 1 - step / n)
-        target, ctx = full[take].astype(np.int64), before[take].astype(np.int64)
-        c = model.cluster[target]
-        v = p["r"][ctx]
-        q = (v * p["a"]).sum(axis=1)
-        # Cluster level: every cluster is noise with its expected number of draws.
-        z = q @ p["s"].T + p["t"] - log_cluster - log_k
-        d = 1 / (1 + np.exp(-np.clip(z, -20, 20)))
-        dn = d * np.exp(log_cluster) * noise
-        dn[np.arange(len(c)), c] += d[np.arange(len(c)), c] - 1
-        # Symbol level: the target against draws from its own cluster.
-        u = rng.random((len(c), noise))
-        drawn = ids[c[:, None], (u[:, :, None] >= steps[c][:, None, :]).sum(axis=2)]
-        both = np.concatenate([target[:, None], drawn], axis=1)
-        o = p["o"][both]
-        z = np.einsum("bd,bnd->bn", q, o) + p["b"][both] - log_inner[both] - log_k
-        e = 1 / (1 + np.exp(-np.clip(z, -20, 20)))
-        e[:, 0] -= 1
-        gq = dn @ p["s"] + np.einsum("bn,bnd->bd", e, o)
-        m = len(c)
-        back = (gq[:, None, :] * p["a"]).reshape(-1, gq.shape[1])
-        drawn_q = (e[:, :, None] * q[:, None, :]).reshape(-1, q.shape[1])
-        grads = {"r": _sums(ctx.ravel(), back, size), "a": np.einsum("bd,bid->id", gq, v), "s": dn.T @ q, "t": dn.sum(0), "o": _sums(both.ravel(), drawn_q, size), "b": np.bincount(both.ravel(), weights=e.ravel(), minlength=size)}
+        c = cluster[full[take]]
+        order = np.argsort(c, kind="stable")
+        take, c = take[order], c[order].astype(np.int64)
+        place, deep = model.place[full[take]], spot[take]
+        context = [np.where(deep > i, full[np.maximum(take - i - 1, 0)], full.dtype.type(model.words)) for i in range(CONTEXT)]
+        q = (p["r"] * p["a"][0]).take(context[0], axis=0)
+        for i in range(1, CONTEXT):
+            q += (p["r"] * p["a"][i]).take(context[i], axis=0)
+        # Positions stand in columns, where sums over symbols are fast.
+        m, at, q_t = len(take), np.arange(len(take)), np.ascontiguousarray(q.T)
+        d = _softmax(p["s"] @ q_t + p["t"][:, None])
+        d[c, at] -= 1
+        back = d.T @ p["s"]
+        grads = {"s": d @ q, "t": d.sum(axis=1), "o": np.zeros_like(p["o"]), "b": np.zeros_like(p["b"])}
+        cut = np.searchsorted(c, np.arange(k + 1)).tolist()
+        for x in range(k):
+            a, b, i, j = cut[x], cut[x + 1], edge[x], edge[x + 1]
+            if a < b and j - i > 1:
+                o = p["o"][i:j]
+                e = _softmax(o @ q_t[:, a:b] + p["b"][i:j, None])
+                e[place[a:b], at[: b - a]] -= 1
+                back[a:b] += e.T @ o
+                grads["o"][i:j] = e @ q[a:b]
+                grads["b"][i:j] = e.sum(axis=1)
+        by_place = [_sums(x, back, size) for x in context]
+        grads["r"] = sum(g * w for g, w in zip(by_place, p["a"]))
+        grads["a"] = np.stack([(g * p["r"]).sum(axis=0) for g in by_place])
         adam.step(p, {name: (g / m + 1e-6 * p[name]).astype(np.float32) for name, g in grads.items()})
+    for name in ("o", "b"):
+        model.p[name][by_cluster] = p[name]
+
+
+def _softmax(x: np.ndarray) -> np.ndarray:
+    """Of each column, in place."""
+    x -= x.max(axis=0)
+    np.exp(x, out=x)
+    x *= 1 / x.sum(axis=0)
+    return x
 
 
 def symbol_pairs(docs: DataFrame, sent, size: int, text: str = "text") -> np.ndarray:
@@ -270,8 +291,9 @@ def symbol_pairs(docs: DataFrame, sent, size: int, text: str = "text") -> np.nda
         for batch in batches:
             for i, j, data, at in tb.blocks(batch.column(text)):
                 h, form, doc = tokens(data, at)
-                full, _, before = sent.value.rows(sent.value.symbols(h, form)[0], doc, j - i)
-                total += np.bincount(before[:, 0] * size + full, minlength=size * size)
+                full, _, spot = sent.value.texts(sent.value.symbols(h, form)[0], doc, j - i)
+                before = np.where(spot > 0, np.roll(full, 1), sent.value.words)
+                total += np.bincount(before * size + full, minlength=size * size)
         found = np.flatnonzero(total)
         for part in np.array_split(found, len(found) // 50_000 + 1):
             yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(total[part])], ["pair", "c"])
@@ -283,26 +305,40 @@ def symbol_pairs(docs: DataFrame, sent, size: int, text: str = "text") -> np.nda
     return out.reshape(size, size)
 
 
-def averaged(docs: DataFrame, model: Model, symbol_count: np.ndarray, share: int, rate: float, turn: int, text: str = "text") -> dict[str, np.ndarray]:
-    """The weights after one round: each partition trains on one in ``share`` of the positions of every text it holds; the mean by positions."""
+def averaged(docs: DataFrame, model: Model, symbol_count: np.ndarray, share: int, rate: float, turn: int, text: str = "text", most: int = 1 << 22) -> dict[str, np.ndarray]:
+    """The weights after one round: each partition trains on every ``share``-th position of the texts it holds; the mean by positions.
+
+    ``share`` turns in a row take every position once.  A worker holds about ``most`` positions at a time.
+    """
     names = list(model.p)
-    sent = docs.sparkSession.sparkContext.broadcast((model, symbol_count))
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    small = np.min_scalar_type(len(symbol_count))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, count = sent.value
+        m = replace(sent.value, p={k: v.copy() for k, v in sent.value.p.items()})
         rng = np.random.default_rng((turn, TaskContext.get().partitionId()))
-        targets, contexts = [], []
+        full, spot, held, n = [], [], 0, 0
+
+        def train() -> int:
+            chosen = np.arange(turn % share, held, share)
+            if len(chosen):
+                descend(m, np.concatenate(full), np.concatenate(spot), chosen, rate, rng)
+            full.clear()
+            spot.clear()
+            return len(chosen)
+
         for batch in batches:
             for i, j, data, at in tb.blocks(batch.column(text)):
                 h, form, doc = tokens(data, at)
-                full, _, before = m.rows(m.symbols(h, form)[0], doc, j - i)
-                chosen = rng.random(len(full)) * share < 1
-                targets.append(full[chosen].astype(np.uint32))
-                contexts.append(before[chosen].astype(np.uint32))
-        n = sum(len(x) for x in targets)
+                symbol, _, place = m.texts(m.symbols(h, form)[0], doc, j - i)
+                full.append(symbol.astype(small))
+                spot.append(np.minimum(place, CONTEXT).astype(np.uint8))
+                held += len(symbol)
+                if held >= most:
+                    n += train()
+                    held = 0
+        n += train()
         if n:
-            m = replace(m, p={k: v.copy() for k, v in m.p.items()})
-            descend(m, np.concatenate(targets), np.concatenate(contexts), count, rate, rng)
             yield pa.RecordBatch.from_arrays([pa.array([np.concatenate([m.p[k].ravel() for k in names]).astype(np.float64).tobytes()]), pa.array([n])], ["w", "n"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -321,8 +357,8 @@ def averaged(docs: DataFrame, model: Model, symbol_count: np.ndarray, share: int
     return {k: x.reshape(model.p[k].shape).astype(np.float32) for k, x in zip(names, np.split(flat, cut))}
 
 
-def fit(docs: DataFrame, text: str = "text", words: int = 927, head_words: int = 100_000, rounds: int = 2, share: int = 4) -> tuple[Model, DataFrame]:
-    """The model of the training documents ``docs``, and the table of all word counts."""
+def fit(docs: DataFrame, text: str = "text", words: int = 927, head_words: int = 100_000, rounds: int = 2) -> tuple[Model, DataFrame]:
+    """The model of the training documents ``docs``, and the table of all word counts; every position is learnt from in one of the ``rounds``."""
     spark = docs.sparkSession
     prepare(spark)
     counts = materialise(word_counts(docs, text))
@@ -344,7 +380,7 @@ def fit(docs: DataFrame, text: str = "text", words: int = 927, head_words: int =
     symbol_count = np.concatenate([c[:own] + 0.5, [ends + 0.5], mass])
     start(model, symbol_count, symbol_pairs(docs, spark.sparkContext.broadcast(model), len(symbol_count), text))
     for turn in range(rounds):
-        model.p = averaged(docs, model, symbol_count, share, 0.02 / (1 + turn), turn, text)
+        model.p = averaged(docs, model, symbol_count, rounds, 0.02 / (1 + turn), turn, text)
     return model, counts
 
 

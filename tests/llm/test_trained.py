@@ -170,6 +170,53 @@ def test_lm_learns_from_all_documents(spark, monkeypatch):
     assert all(np.allclose(same[k], model.p[k], atol=1e-6) for k in same)
 
 
+def test_lm_trains_on_every_position_once(spark, monkeypatch):
+    """The rounds together take each position of each text once, also where a worker trains on a few at a time."""
+    docs = read(spark, DATA, "documents").select("doc_id", "text").coalesce(1)
+    model, _ = lm_scoring.fit(docs, words=50, rounds=1)
+    size = len(model.cluster)
+
+    def count(m, full, spot, chosen, rate, rng):
+        m.p["b"] += np.bincount(full[chosen], minlength=size).astype(np.float32)
+
+    monkeypatch.setattr(lm_scoring, "descend", count)
+    seen = lm_scoring.symbol_pairs(docs, spark.sparkContext.broadcast(model), size).sum(axis=0)
+    for rounds, most in ((1, 1 << 22), (2, 1 << 22), (3, 100_000)):
+        model.p["b"] = np.zeros(size, np.float32)
+        for turn in range(rounds):
+            model.p = lm_scoring.averaged(docs, model, seen, rounds, 0.0, turn, most=most)
+        assert model.total == seen.sum() and (model.p["b"] == seen).all()
+
+
+def test_lm_gradients_are_exact(spark):
+    """One step moves each weight against the slope of the mean log-probability, found by small changes."""
+    docs = read(spark, DATA, "documents").select("doc_id", "text")
+    model, _ = lm_scoring.fit(docs, words=20, rounds=0)
+    rng = np.random.default_rng(5)
+    model.p = {k: (w + rng.normal(0, 0.1, w.shape)).astype(np.float64) for k, w in model.p.items()}
+    n = [30, 1, 50]
+    doc = np.repeat(np.arange(3), n)
+    full, _, before = model.rows(rng.integers(0, 20, sum(n)), doc, 3)
+    spot = model.texts(np.zeros(sum(n), np.int64), doc, 3)[2]
+    loss = lambda: -model.log_probability(full, before).mean()
+    slopes = {}
+    for k, w in model.p.items():
+        for at in [tuple(rng.integers(0, x) for x in w.shape) for _ in range(12)]:
+            was = w[at]
+            w[at] = was + 1e-4
+            up = loss()
+            w[at] = was - 1e-4
+            slopes[k, at] = (up - loss()) / 2e-4
+            w[at] = was
+    old = {k: w.copy() for k, w in model.p.items()}
+    lm_scoring.descend(model, full.astype(np.uint16), np.minimum(spot, 4).astype(np.uint8), np.arange(len(full)), 1e-3, rng, batch=1000, least=1000)
+    # A first step of Adam goes by the rate against the sign of the slope.
+    for (k, at), slope in slopes.items():
+        if abs(slope) > 1e-4:
+            assert np.sign(old[k][at] - model.p[k][at]) == np.sign(slope), (k, at)
+    assert sum(abs(x) > 1e-4 for x in slopes.values()) > 15
+
+
 def test_lm_score_equals_plain_loops(spark):
     docs = read(spark, DATA, "documents").select("doc_id", "text")
     model, counts = lm_scoring.fit(docs.where(fold("doc_id", 5) != 1), words=50, head_words=200)
