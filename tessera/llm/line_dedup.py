@@ -47,7 +47,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textblocks as tb
-from .runtime import drop_materialised, materialise, prepare, widened
+from .runtime import drop_materialised, lean, materialise, prepare, widened
 
 
 def increasing(values: list[int]) -> list[int]:
@@ -196,7 +196,7 @@ def all_lines(docs: DataFrame, min_words: int, text: str = "text") -> DataFrame:
                 )
                 yield made.take(pa.array(have))
 
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, version long, lines array<long>, words array<int>, units array<long>")
+    return rows.mapInArrow(lean(run), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, version long, lines array<long>, words array<int>, units array<long>")
 
 
 def _align(min_words: int):
@@ -238,7 +238,7 @@ def _aligned(pairs: DataFrame, whole: DataFrame, min_words: int) -> DataFrame:
     heads = keyed.select(*owner, "part").distinct().join(named, owner).withColumns({"later": F.lit(False), "doc_id": F.col("owner"), "version": F.col("owner_version")}).select(*columns)
     ordered = heads.unionByName(members).repartition(*owner, "part").sortWithinPartitions(*owner, "part", "later")
     kind = whole.schema["doc_id"].dataType.simpleString()
-    return materialise(ordered.select("later", "doc_id", "version", "lines", "words").mapInArrow(_align(min_words), f"doc_id {kind}, version long, places array<int>"))
+    return materialise(ordered.select("later", "doc_id", "version", "lines", "words").mapInArrow(lean(_align(min_words)), f"doc_id {kind}, version long, places array<int>"))
 
 
 def deletions(docs: DataFrame, min_words: int = 8, text: str = "text", rare: int = 1000) -> DataFrame:
@@ -314,4 +314,4 @@ def dedup(docs: DataFrame, min_words: int = 8, text: str = "text", rare: int = 1
             n_deleted = pa.array([len(p) if p else 0 for p in places], pa.int64())
             yield pa.RecordBatch.from_arrays([*columns.values(), batch.column("n"), n_deleted, pa.array([p or [] for p in places], pa.list_(pa.int32()))], [*names, *added])
 
-    return untouched.unionByName(joined.mapInArrow(run, schema))
+    return untouched.unionByName(joined.mapInArrow(lean(run), schema))

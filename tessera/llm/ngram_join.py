@@ -39,13 +39,15 @@ from pyspark.sql import functions as F
 
 from . import textblocks as tb
 from .components import components
-from .runtime import drop_materialised, give_back, materialise, prepare
+from .runtime import drop_materialised, give_back, lean, lean_group, materialise, prepare
 
 TOKEN_BITS = 48
 #: Rows whose shingles a worker holds at once; their numbers take 16 bits in the blocks.
 MOST_ROWS = 1 << 12
 #: Bytes of text whose shingles a worker holds at once.
 MOST_BYTES = 1 << 23
+#: Bytes of text whose words a worker holds at once.
+BLOCK_BYTES = 1 << 18
 
 
 def shingle_sets(data: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -68,17 +70,17 @@ def shingle_sets(data: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray,
 
 def _batch_sets(batch: pa.RecordBatch, text: str, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(row, hash) of all shingles of a batch, then size and class key of each row."""
-    rows, found = [np.empty(0, np.int64)], [np.empty(0, tb.U)]
-    for i, _, data, at in tb.blocks(batch.column(text)):
+    rows, found, sizes, keys = [np.empty(0, np.int32)], [np.empty(0, tb.U)], [np.empty(0, np.int64)], [np.empty(0, tb.U)]
+    for i, j, data, at in tb.blocks(batch.column(text), BLOCK_BYTES):
         owner, g = shingle_sets(data, at, n)
-        rows.append(owner + i)
+        size = np.bincount(owner, minlength=j - i)
+        total = np.concatenate([np.zeros(1, tb.U), np.cumsum(tb.mix(g ^ tb.U(0x5851F42D4C957F2D)))])
+        cut = np.concatenate([[0], np.cumsum(size)])
+        rows.append((owner + i).astype(np.int32))
         found.append(g)
-    row, g = np.concatenate(rows), np.concatenate(found)
-    size = np.bincount(row, minlength=batch.num_rows)
-    total = np.concatenate([np.zeros(1, tb.U), np.cumsum(tb.mix(g ^ tb.U(0x5851F42D4C957F2D)))])
-    cut = np.concatenate([[0], np.cumsum(size)])
-    key = tb.mix((total[cut[1:]] - total[cut[:-1]]) ^ size.astype(tb.U))
-    return row, g, size, key
+        sizes.append(size)
+        keys.append(tb.mix((total[cut[1:]] - total[cut[:-1]]) ^ size.astype(tb.U)))
+    return np.concatenate(rows), np.concatenate(found), np.concatenate(sizes), np.concatenate(keys)
 
 
 def _slices(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
@@ -114,7 +116,10 @@ def _first_pass(docs: DataFrame, text: str, n: int) -> DataFrame:
                 _, one = np.unique(key, return_index=True)
                 chosen = np.zeros(batch.num_rows, bool)
                 chosen[one] = True
-                tokens = np.sort(g[chosen[row]] >> tb.U(64 - TOKEN_BITS))
+                tokens = g[chosen[row]]
+                del g, row
+                tokens >>= tb.U(64 - TOKEN_BITS)
+                tokens.sort()
                 start = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]])) if len(tokens) else np.empty(0, np.int64)
                 count = np.diff(np.append(start, len(tokens)))
                 hot = count >= max(16, batch.num_rows // 400)
@@ -125,7 +130,7 @@ def _first_pass(docs: DataFrame, text: str, n: int) -> DataFrame:
                     ["kind", "doc_id", "version", "size", "key"],
                 )
 
-    return docs.select("doc_id", F.xxhash64(text).alias("version"), text).mapInArrow(run, f"kind int, doc_id {kind.simpleString()}, version long, size long, key long")
+    return docs.select("doc_id", F.xxhash64(text).alias("version"), text).mapInArrow(lean(run), f"kind int, doc_id {kind.simpleString()}, version long, size long, key long")
 
 
 def _blocks_of(docs: DataFrame, text: str, n: int, ranges: int, hot: np.ndarray) -> DataFrame:
@@ -142,13 +147,18 @@ def _blocks_of(docs: DataFrame, text: str, n: int, ranges: int, hot: np.ndarray)
             for batch in _slices(whole, text):
                 row, g, size, key = _batch_sets(batch, text, n)
                 token = g >> tb.U(64 - TOKEN_BITS)
-                packed = (token << tb.U(16)) | row.astype(tb.U)
                 common = np.zeros(len(token), bool)
                 if len(known):
                     common = known[np.minimum(np.searchsorted(known, token), len(known) - 1)] == token
+                token <<= tb.U(16)
+                token |= row.astype(tb.U)
+                packed = token
+                del g, row, token
                 own = np.sort(packed[common])
                 head = np.array([batch.num_rows, len(own)], "<u8").tobytes() + size.astype("<u8").tobytes() + key.astype("<u8").tobytes() + own.astype("<u8").tobytes()
-                rest = np.sort(packed[~common])
+                rest = packed[~common]
+                del packed
+                rest.sort()
                 cut = np.searchsorted(rest, edges)
                 cut[-1] = len(rest)
                 place, data = [-1 - ((number >> 24) + (number & 0xFFFFFF) * 7919) % (1 << 20)], [head]
@@ -160,7 +170,7 @@ def _blocks_of(docs: DataFrame, text: str, n: int, ranges: int, hot: np.ndarray)
                 yield pa.RecordBatch.from_arrays([pa.array(place, pa.int32()), pa.array([number] * len(place), pa.int64()), pa.array(data, pa.binary())], ["place", "batch", "data"])
                 number += 1
 
-    return docs.select("doc_id", text).mapInArrow(run, "place int, batch long, data binary")
+    return docs.select("doc_id", text).mapInArrow(lean(run), "place int, batch long, data binary")
 
 
 def _count_range(rows: pd.DataFrame) -> pd.DataFrame:
@@ -171,17 +181,18 @@ def _count_range(rows: pd.DataFrame) -> pd.DataFrame:
     for k, raw in enumerate(rows["data"]):
         m = int(np.frombuffer(raw, "<u8", 1)[0])
         tokens.append(np.cumsum(_unplanes(raw[8 : 8 + 6 * m], m, 6)))
-        row.append(_unplanes(raw[8 + 6 * m :], m, 2))
-        batch.append(np.full(m, k, np.int64))
+        row.append(_unplanes(raw[8 + 6 * m :], m, 2).astype(np.uint16))
+        batch.append(np.full(m, k, np.int32))
     t = np.concatenate(tokens)
+    del tokens
     order = np.argsort(t, kind="stable")
     t = t[order]
-    new = np.concatenate([[True], t[1:] != t[:-1]])
-    start = np.flatnonzero(new)
-    df = np.diff(np.append(start, len(t)))
+    same = t[1:] == t[:-1]
+    shared = np.append(same, False) | np.append(False, same)
+    t, at = t[shared], order[shared]
+    del order
+    df = np.diff(np.append(np.flatnonzero(np.append(True, t[1:] != t[:-1])), len(t))) if len(t) else np.empty(0, np.int64)
     df = np.repeat(df, df)
-    shared = df > 1
-    t, df, at = t[shared], df[shared], order[shared]
     row, batch = np.concatenate(row)[at], np.concatenate(batch)[at]
     out = []
     for k, name in enumerate(rows["batch"]):
@@ -342,8 +353,8 @@ def similar(docs: DataFrame, n: int = 3, share: int = 70, whole: int = 100, text
     hot_df = np.array([r.df for r in hot_rows], np.int64)
 
     ranges = max(1, total // range_rows)
-    counted = _blocks_of(docs, text, n, ranges, hot).groupBy("place").applyInPandas(_count_range, "place int, batch long, data binary")
-    live = materialise(counted.groupBy("batch").applyInPandas(_live_rows(share, whole, hot, hot_df), "key long, size long, prefix long, tokens binary"))
+    counted = _blocks_of(docs, text, n, ranges, hot).groupBy("place").applyInPandas(lean_group(_count_range), "place int, batch long, data binary")
+    live = materialise(counted.groupBy("batch").applyInPandas(lean_group(_live_rows(share, whole, hot, hot_df)), "key long, size long, prefix long, tokens binary"))
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -351,7 +362,7 @@ def similar(docs: DataFrame, n: int = 3, share: int = 70, whole: int = 100, text
             parts = [np.frombuffer(x, "<i8")[:p] for x, p in zip(batch.column("tokens").to_pylist(), k.tolist())]
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(keys, [len(p) for p in parts])), pa.array(np.concatenate(parts) if parts else np.empty(0, np.int64))], ["key", "token"])
 
-    pairs = live.select("key", "prefix", "tokens").mapInArrow(prefixes, "key long, token long").distinct()
+    pairs = live.select("key", "prefix", "tokens").mapInArrow(lean(prefixes), "key long, token long").distinct()
     pairs = materialise(pairs)
     least = pairs.groupBy("token").agg(F.min("key").alias("least"), F.max("key").alias("most")).where("least != most").select("token", "least")
     groups = materialise(components(pairs.join(least, "token").where("key != least").select("key", "least").distinct(), "key", "least"))

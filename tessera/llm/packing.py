@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bpe
-from .runtime import give_back, materialise, prepare
+from .runtime import give_back, lean, lean_group, materialise, prepare
 
 
 def fill(counts: dict[int, int], room: int) -> dict[int, int]:
@@ -124,7 +124,7 @@ def pieces(docs: DataFrame, path: str, window: int = 1024, end_id: int = 0, text
             del batch, columns
             give_back()
 
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long")
+    return rows.mapInArrow(lean(run), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long")
 
 
 def pack(docs: DataFrame, path: str, window: int = 1024, end_id: int = 0, group_rows: int = 100_000, text: str = "text") -> DataFrame:
@@ -145,7 +145,7 @@ def pack(docs: DataFrame, path: str, window: int = 1024, end_id: int = 0, group_
         rows["offset"] = offset
         return rows.drop(columns="_group")
 
-    packed = keyed.groupBy("_group").applyInPandas(run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    packed = keyed.groupBy("_group").applyInPandas(lean_group(run), f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
     return packed.unionByName(full)
 
 

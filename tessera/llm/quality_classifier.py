@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textblocks as tb
-from .runtime import prepare, widened
+from .runtime import lean, prepare, widened
 
 BITS = 18
 SHAPE = np.arange(256, dtype=np.uint8)
@@ -183,7 +183,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most_rows:
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "version", "h", "y")), pa.array(out, pa.binary())], ["doc_id", "version", "h", "y", "x"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = one_row_each(labelled_sample(docs, labels, label, most_rows, allowed).mapInArrow(features, f"doc_id {kind}, version long, h long, y int, x binary"))
+    rows = one_row_each(labelled_sample(docs, labels, label, most_rows, allowed).mapInArrow(lean(features), f"doc_id {kind}, version long, h long, y int, x binary"))
     return fit([np.frombuffer(r.x, np.uint32) for r in rows], np.array([int(r.y > 0) for r in rows]), bits)
 
 
@@ -201,4 +201,4 @@ def score(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
             found = np.concatenate(made) if made else np.empty(0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], [*batch.schema.names, column])
 
-    return base.mapInArrow(run, schema)
+    return base.mapInArrow(lean(run), schema)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textblocks as tb
-from .runtime import prepare, widened
+from .runtime import lean, prepare, widened
 
 SYMBOL = np.zeros(256, bool)
 SYMBOL[list(b"#*$%&|<>")] = True
@@ -147,7 +147,7 @@ def plan(docs: DataFrame, text: str = "text", sample: int = 500, rules: dict | N
                     total[name] = (total[name][0] + seconds, total[name][1] + rejected)
         yield pa.RecordBatch.from_arrays([pa.array(list(total)), pa.array([v[0] for v in total.values()]), pa.array([v[1] for v in total.values()]), pa.array([n] * len(total))], ["name", "s", "bad", "n"])
 
-    sums = {r.name: r for r in chosen.mapInArrow(run, "name string, s double, bad long, n long").groupBy("name").agg(F.sum("s").alias("s"), F.sum("bad").alias("bad"), F.sum("n").alias("n")).collect()}
+    sums = {r.name: r for r in chosen.mapInArrow(lean(run), "name string, s double, bad long, n long").groupBy("name").agg(F.sum("s").alias("s"), F.sum("bad").alias("bad"), F.sum("n").alias("n")).collect()}
     names = RULES if rules is None else rules
     return ordered({k: (sums[k].s, sums[k].bad) if k in sums else (0.0, 0) for k in names}, next((r.n for r in sums.values()), 0))
 
@@ -184,4 +184,4 @@ def annotate(docs: DataFrame, text: str = "text", sample: int = 500) -> DataFram
             arrays = [pa.array(v.astype(np.int64) if COLUMNS[k] == "long" else v) for k, v in cols.items()]
             yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], [*batch.schema.names, *cols])
 
-    return base.mapInArrow(run, schema)
+    return base.mapInArrow(lean(run), schema)

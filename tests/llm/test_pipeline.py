@@ -1,10 +1,16 @@
 """The pipeline stage by stage against what each operator says by brute force."""
 
+import re
+import tracemalloc
+from pathlib import Path
+
 import corpus_pipeline as P
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import ngram_join
+from tessera.llm import ngram_join, runtime
 from tessera.llm.runtime import materialise
 
 from ..conftest import DATA
@@ -89,3 +95,27 @@ def test_near_copies_by_texts_before_and_after_the_cut(spark, tmp_path):
     spark.createDataFrame(before, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     single = P.dedup_near(spark, spark.createDataFrame(after, "doc_id long, text string"), str(tmp_path))
     assert {r.doc_id: r.text for r in single.collect()} == {d: t for d, t in after if d in (1, 3, 6)}
+
+
+def test_workers_hold_little(spark, monkeypatch):
+    """The n-gram passes over 8 MB of text stay below a bound, and a worker that waits for its next task has given the memory back."""
+    taken = {}
+    docs = spark.createDataFrame([], "doc_id long, text string")
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, run, schema: taken.setdefault(len(taken), run) and self)
+    ngram_join._first_pass(docs, "text", 3)
+    ngram_join._blocks_of(docs, "text", 3, 4, np.empty(0, np.uint64))
+    names, rng = np.array([f"word{i}" for i in range(20_000)]), np.random.default_rng(3)
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(2500)), "version": list(range(2500)), "text": [" ".join(names[rng.integers(0, 20_000, 330)]) for _ in range(2500)]})
+    held = lambda: int(re.search(r"\nPss_Anon:\s+(\d+)", Path("/proc/self/smaps_rollup").read_text())[1]) / 1024
+    monkeypatch.setattr(ngram_join, "TaskContext", type("Task", (), {"get": classmethod(lambda cls: cls), "partitionId": classmethod(lambda cls: 0)}))
+    for run in taken.values():
+        runtime.give_back()
+        before = held()
+        assert sum(b.num_rows for b in run(iter([batch]))) > 0
+        assert held() - before < 15
+        tracemalloc.start()
+        for _ in run(iter([batch])):
+            pass
+        peak = tracemalloc.get_traced_memory()[1] / 1e6
+        tracemalloc.stop()
+        assert peak < 34
