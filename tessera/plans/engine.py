@@ -133,7 +133,7 @@ def knn_exact(s, d):
 def knn_batch(s, d):
     e = table(s, d, "embeddings")
     queries = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
-    found = knn.nearest_many(e, queries, 5)
+    found = knn.nearest_many(e, queries, 5, digits=6)
     return found.select("query_id", "id", F.round("distance", 4).alias("distance"), F.col("rank").cast("long").alias("rank"))
 
 
