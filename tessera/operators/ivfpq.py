@@ -1,8 +1,8 @@
 """IVF-PQ: an inverted file of coarse cells with product-quantised codes.
 
 Codebooks are fitted on a bounded sample; every vector is encoded by one
-narrow pass and the index is a table partitioned by cell, so a search reads
-the probed cells only.
+narrow pass and the index is a table partitioned by cell.  A search meets
+vectors of the probed cells only.
 """
 
 from __future__ import annotations
@@ -13,11 +13,10 @@ from dataclasses import asdict, dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.vectors import distance
-from .knn import matrix_distances
+from .knn import QUERY_ROWS, VECTOR_ROWS, Best, matrix_distances, pair_distances, query_blocks, ranked, slack, vector_matrix
 from .worker import prepare
 
 
@@ -41,7 +40,7 @@ def lloyd(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator, metric:
     """k-means; an empty cluster keeps its centroid, and moves below 1e-6 end it."""
     c = x[rng.choice(len(x), min(k, len(x)), replace=False)].copy()
     for _ in range(rounds):
-        near = matrix_distances(c, x, metric).argmin(axis=0)
+        near = np.concatenate([matrix_distances(c, x[a : a + 4096], metric).argmin(axis=0) for a in range(0, len(x), 4096)])
         new = c.copy()
         for i in np.unique(near):
             new[i] = x[near == i].mean(axis=0)
@@ -108,27 +107,34 @@ class IvfPq:
         chosen = rows.select(F.col(vector_id).cast("long").alias("id"), F.col(column).cast("array<double>").alias("v"))
         return chosen.mapInArrow(run, "id long, cluster_id int, codes array<short>")
 
-    def _tables(self, query: Sequence[float]) -> tuple[list[int], list[float]]:
-        """Cells to probe, and what each code of each subvector adds to the distance."""
+    def _tables(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """By query: which cells to probe, and what each code of each subvector adds to the distance."""
         c = self.config
-        q = self._prepared(np.asarray([query], np.float64))
         if q.shape[1] != c.dimension:
             raise ValueError(f"the query must have {c.dimension} components")
-        cells = matrix_distances(q, self.coarse, c.metric)[0].argsort(kind="stable")[: c.probes]
+        q = self._prepared(q)
+        near = matrix_distances(q, self.coarse, c.metric).argsort(axis=1, kind="stable")[:, : c.probes]
+        probed = np.zeros((len(q), len(self.coarse)), bool)
+        np.put_along_axis(probed, near, True, axis=1)
         width, parts = c.dimension // c.subvectors, []
         for m in range(c.subvectors):
             part, book = q[:, m * width : (m + 1) * width], np.where(np.isfinite(self.books[m]), self.books[m], 0)
             if c.metric == "euclidean":
-                parts.append(((book - part) ** 2).sum(axis=1))
-            elif c.metric == "manhattan":
-                parts.append(np.abs(book - part).sum(axis=1))
+                parts.append(matrix_distances(part, book, "euclidean") ** 2)
             else:
-                parts.append(-(book @ part[0]))
-        return [int(x) for x in cells], np.concatenate(parts).tolist()
+                parts.append(matrix_distances(part, book, "manhattan" if c.metric == "manhattan" else "dot"))
+        return probed, np.stack(parts, axis=1)
 
-    def _distance(self, lut: Column, codes: Column) -> Column:
-        total = F.aggregate(F.transform(codes, lambda code, m: F.get(lut, m * self.config.codes + code)), F.lit(0.0), lambda s, x: s + x)
-        return {"euclidean": F.sqrt(total), "cosine": 1.0 + total}.get(self.config.metric, total)
+    def _by_code(self, added: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """Distances of every query to every vector by its codes."""
+        total = sum(added[:, m][:, codes[:, m]] for m in range(codes.shape[1]))
+        return {"euclidean": np.sqrt, "cosine": lambda x: 1.0 + x}.get(self.config.metric, lambda x: x)(total)
+
+    def _bare(self) -> "IvfPq":
+        """The codebooks alone, for workers."""
+        bare = IvfPq(None, self.config)
+        bare.coarse, bare.books = self.coarse, self.books
+        return bare
 
     def search(self, query: Sequence[float], k: int) -> DataFrame:
         """(id, distance) of the ``k`` nearest by code, from the probed cells."""
@@ -136,27 +142,82 @@ class IvfPq:
         return self.search_many(queries, k).drop("query_id", "rank")
 
     def search_many(self, queries: DataFrame, k: int) -> DataFrame:
-        """(query_id, id, distance, rank): queries meet the index by an equi-join on the cell."""
+        """(query_id, id, distance, rank) by code: every task sends its ``k`` best for each query."""
+        return self._run(self.table, queries, k, None).orderBy("query_id", "rank")
+
+    def refined(self, vectors: DataFrame, queries: DataFrame, k: int, fetch: int = 10, vector_id: str = "vec_id", column: str = "embedding") -> DataFrame:
+        """(query_id, id, distance, rank): the ``k`` nearest of all vectors in the probed cells by their exact distances; ``vectors`` are the indexed ones.
+
+        ``fetch`` times ``k`` candidates by code tell how near the nearest are
+        at least.  After these, every vector is ranked whose distance by code,
+        less the error of its own code, doesn't prove it farther: nothing near is lost, however many vectors there are.
+        """
+        own = vectors.where(F.col(column).isNotNull()).select(F.col(vector_id).cast("long").alias("id"), F.col(column).cast("array<double>").alias("v"))
+        # Any code bounds the distance of any vector, so where an id is repeated one of its rows in the index serves all.
+        return self._run(own.join(self.table.dropDuplicates(["id"]), "id") if self.is_built else None, queries, k, fetch)
+
+    def _run(self, rows: DataFrame | None, queries: DataFrame, k: int, fetch: int | None) -> DataFrame:
         if not self.is_built:
             raise RuntimeError("the index is not built")
-        probes = []
-        for r in queries.toLocalIterator():
-            cells, lut = self._tables(r["query"])
-            probes += [(r["query_id"], cell, lut) for cell in cells]
-        probe = self.spark.createDataFrame(probes, "query_id long, cluster_id int, lut array<double>")
-        met = self.table.join(probe, "cluster_id")
-        scored = met.select("query_id", "id", self._distance(F.col("lut"), F.col("codes")).alias("distance"))
-        order = Window.partitionBy("query_id").orderBy("distance", "id")
-        return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).orderBy("query_id", "rank")
+        prepare(self.spark)
 
-    def refined(self, vectors: DataFrame, queries: DataFrame, k: int, fetch: int = 10, vector_id: str = "vec_id", column: str = "embedding") -> DataFrame:
-        """Like ``search_many``, but ``fetch`` times as many candidates by code are ranked by their exact distances; ``vectors`` are the indexed ones."""
-        near = self.search_many(queries, k * fetch).select("query_id", "id")
-        asked = queries.select("query_id", F.col("query").cast("array<double>").alias("_q"))
-        own = vectors.select(F.col(vector_id).cast("long").alias("id"), F.col(column).cast("array<double>").alias("_v"))
-        scored = near.join(own, "id").join(asked, "query_id").select("query_id", "id", distance(self.config.metric, "_v", "_q").alias("distance"))
-        order = Window.partitionBy("query_id").orderBy("distance", "id")
-        return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        def search(names: np.ndarray, matrix: np.ndarray) -> DataFrame:
+            if matrix.shape[1] != self.config.dimension:
+                raise ValueError(f"the query must have {self.config.dimension} components")
+            sent = self.spark.sparkContext.broadcast((self._bare(), names, matrix))
+
+            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                index, names, matrix = sent.value
+                best = Best(len(names), k)
+                for whole in batches:
+                    for start in range(0, whole.num_rows, VECTOR_ROWS):
+                        batch = whole.slice(start, VECTOR_ROWS)
+                        index._compare(best, matrix, batch, fetch)
+                yield from best.batches(names)
+
+            return rows.mapInArrow(run, "query_id long, id long, distance double")
+
+        return ranked(self.spark, [search(*block) for block in query_blocks(queries.select("query_id", "query"))], k)
+
+    def _compare(self, best: Best, queries: np.ndarray, batch: pa.RecordBatch, fetch: int | None) -> None:
+        """Take a batch of the index into account: by code alone, or with ``fetch`` by exact distances of its vectors."""
+        metric, k = self.config.metric, best.k
+        ids, cell = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("id", "cluster_id"))
+        codes = np.asarray(batch.column("codes").flatten()).reshape(len(ids), -1)
+        if fetch is not None:
+            x = self._prepared(vector_matrix(batch.column("v")))
+            width = self.config.dimension // self.config.subvectors
+            off = x - np.concatenate([self.books[m][codes[:, m]] for m in range(x.shape[1] // width)], axis=1)
+            error = np.abs(off).sum(axis=1) if metric == "manhattan" else np.sqrt((off**2).sum(axis=1))
+        for a in range(0, len(queries), QUERY_ROWS):
+            rows, q = slice(a, a + QUERY_ROWS), self._prepared(queries[a : a + QUERY_ROWS])
+            probed, added = self._tables(queries[rows])
+            probed = probed[:, cell]
+            d = np.where(probed, self._by_code(added, codes), np.inf)
+            edge = best.edge(rows)
+            if fetch is None:
+                if len(ids) > k and np.isinf(edge).any():
+                    edge = np.minimum(edge, np.partition(d, k - 1, axis=1)[:, k - 1])
+                i, j = np.nonzero((d <= edge[:, None]) & probed)
+                best.add(i + a, ids[j], d[i, j])
+                continue
+            open_ = np.flatnonzero(np.isinf(edge))
+            most = k * fetch
+            if len(open_) and len(ids) > most:
+                # The k-th exact distance among the best by code: no farther vector is among the k nearest.
+                near = np.argpartition(d[open_], most - 1, axis=1)[:, :most]
+                there = np.stack([pair_distances(x[v], np.broadcast_to(q[u], (most, q.shape[1])), metric) for u, v in zip(open_, near)])
+                there[~np.take_along_axis(probed[open_], near, axis=1)] = np.inf
+                edge[open_] = np.partition(there, k - 1, axis=1)[:, k - 1]
+            reach = edge + 2 * slack(q, x, metric)
+            d -= error * (np.linalg.norm(q, axis=1)[:, None] if metric == "dot" else 1.0)
+            near = probed & (d <= reach[:, None])
+            if near.sum() > near.size // 50:
+                near &= matrix_distances(q, x, metric) <= reach[:, None]
+            i, j = np.nonzero(near)
+            for s in range(0, len(i), 1 << 17):
+                u, v = i[s : s + (1 << 17)], j[s : s + (1 << 17)]
+                best.add(u + a, ids[v], pair_distances(x[v], q[u], metric))
 
     def add(self, vectors: DataFrame, vector_id: str = "vec_id", column: str = "embedding") -> None:
         """Encode more vectors with the present codebooks."""
