@@ -17,14 +17,17 @@ from .text_metadata import word_array
 
 
 def text_terms(rows: DataFrame, doc_id: str, column: str) -> DataFrame:
-    """(term, doc_id): lower-cased words between Unicode blanks, each once for a document."""
+    """(term, doc_id): lower-cased words between Unicode blanks, each once for a row."""
     words = word_array(F.lower(F.col(column)))
-    return rows.select(F.explode(F.array_distinct(words)).alias("term"), F.col(doc_id).alias("doc_id")).distinct()
+    return rows.select(F.explode(F.array_distinct(words)).alias("term"), F.col(doc_id).alias("doc_id"))
 
 
 @dataclass
 class InvertedIndex:
-    """Postings (term, doc_id)."""
+    """Postings (term, doc_id).
+
+    Where documents are repeated a pair may be there more than once; every search gives a document once.
+    """
 
     postings: DataFrame
 
@@ -33,8 +36,8 @@ class InvertedIndex:
         return cls(spark.createDataFrame([], "term string, doc_id long"))
 
     def save(self, path: str) -> None:
-        """Sorted by ranges of terms over files: statistics then prune what a search does not need."""
-        self.postings.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode("overwrite").option("parquet.page.row.count.limit", "20000").parquet(path)
+        """In segments, one for each part of the texts, each sorted by term: nothing is shuffled, and statistics of pages prune what a search does not need."""
+        self.postings.sortWithinPartitions("term", "doc_id").write.mode("overwrite").option("parquet.page.row.count.limit", "20000").parquet(path)
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> "InvertedIndex":
@@ -45,14 +48,14 @@ class InvertedIndex:
         return self.add(text_terms(rows, doc_id, column))
 
     def add(self, more: DataFrame) -> "InvertedIndex":
-        return InvertedIndex(self.postings.unionByName(more.select("term", "doc_id")).distinct())
+        return InvertedIndex(self.postings.unionByName(more.select("term", "doc_id")))
 
     def remove(self, gone: DataFrame) -> "InvertedIndex":
         """Without these (term, doc_id) pairs."""
         return InvertedIndex(self.postings.join(gone, ["term", "doc_id"], "left_anti"))
 
     def get(self, term: str) -> DataFrame:
-        return self.postings.where(F.col("term") == term).select("doc_id")
+        return self.postings.where(F.col("term") == term).select("doc_id").distinct()
 
     def search_any(self, terms: Sequence[str]) -> DataFrame:
         return self.postings.where(F.col("term").isin(list(terms))).select("doc_id").distinct()

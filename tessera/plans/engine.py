@@ -156,7 +156,7 @@ _WORDS = "regexp_split_to_array(lower(text), '\\s+')"
 
 
 def _terms(s, d) -> metadata_index.InvertedIndex:
-    """The inverted index of all texts, written once for a folder in the order of terms, so that a search reads few pages."""
+    """The inverted index of all texts, written once for a folder, each segment in the order of terms, so that a search reads few pages."""
     path = f"{_shared(s)}/terms-{hashlib.md5(os.path.realpath(d).encode()).hexdigest()[:12]}-{s.sparkContext.applicationId}"
     if not Files(s, path).exists("_SUCCESS"):
         metadata_index.InvertedIndex(metadata_index.text_terms(table(s, d, "documents"), "doc_id", "text")).save(path)

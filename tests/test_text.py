@@ -143,3 +143,15 @@ def test_evaluation(spark):
     report = evaluation.chunk_report(one, "text").first()
     assert report.n_chunks == 2 and 0 <= report.coherence <= 1 and evaluation.recommendations(report.coherence, report.consistency)
     assert evaluation.improvement(0, 5) == 0 and evaluation.improvement(2, 3) == 50
+
+
+def test_stored_terms_without_a_shuffle(spark, tmp_path):
+    """An index is written in sorted segments; a document that is there twice, or is added again, is found once."""
+    d = spark.createDataFrame([(i % 40, f"the word{i % 7} this {'only' if i == 3 else ''}") for i in range(80)], "doc_id long, text string").repartition(3)
+    made = metadata_index.InvertedIndex(metadata_index.text_terms(d, "doc_id", "text"))
+    plan = metadata_index.text_terms(spark.range(9).select("id", F.lit("a b").alias("text")), "id", "text")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Aggregate" not in plan
+    made.save(str(tmp_path / "terms"))
+    ids = lambda x: sorted(r[0] for r in x.collect())
+    for index in (made, metadata_index.InvertedIndex.load(spark, str(tmp_path / "terms")).add_text(d.limit(5), "doc_id", "text")):
+        assert ids(index.get("the")) == ids(index.search_all(["the", "this"])) == list(range(40)) and ids(index.search_any(["only", "none"])) == [3]
