@@ -82,8 +82,8 @@ def compacted_scan(s, d):
     if not catalog.table_exists("orders"):
         rows = table(s, d, "orders")
         catalog.create_table("orders", rows.schema)
-        for part in rows.randomSplit([1.0, 1.0], seed=1):
-            catalog.writer("orders", WriteConfig(max_buffer_rows=10**9)).write(part).commit()
+        for k in (0, 1):
+            catalog.writer("orders", WriteConfig(max_buffer_rows=10**9)).write(rows.where(F.pmod(F.xxhash64("o_orderkey"), F.lit(2)) == k)).commit()
         catalog.compact("orders")
     return catalog.reader("orders").read_combined().groupBy("o_custkey").agg(F.count("*").alias("n"))
 

@@ -23,7 +23,8 @@ class Files:
         return self.fs.exists(self._path(rel))
 
     def size(self, rel: str) -> int:
-        return self.fs.getFileStatus(self._path(rel)).getLen()
+        """Bytes of a file, or of all files of a folder."""
+        return self.fs.getContentSummary(self._path(rel)).getLength()
 
     def age(self, rel: str) -> float:
         """Seconds since a file was written; 0 for one that is gone."""

@@ -1,16 +1,21 @@
-"""Column statistics of fragments, one aggregation for all files and columns."""
+"""Column statistics of fragments, by one pass over all files and columns."""
 
 from __future__ import annotations
 
 import datetime
 import decimal
 import math
+from collections.abc import Iterator
 from typing import Any
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.worker import prepare
 from ..schema import orderable
 
 
@@ -40,39 +45,113 @@ def from_json(value: Any, kind: T.DataType) -> Any:
     return value
 
 
-def fragment_stats(df: DataFrame, by: str = "_file") -> DataFrame:
-    """(file, row_count, then min_, max_ and nulls_ of every column) by file.
-
-    Combined on the map side; ``df`` must have the column ``by``.
-    """
-    found = [F.count("*").alias("row_count")]
-    for f in df.schema:
-        if f.name in (by, "_row"):
-            continue
-        if orderable(f.dataType):
-            found += [F.min(f.name).alias(f"min_{f.name}"), F.max(f.name).alias(f"max_{f.name}")]
-        found.append(F.count_if(F.col(f.name).isNull()).alias(f"nulls_{f.name}"))
-    return df.groupBy(by).agg(*found)
-
-
-def sorted_flags(df: DataFrame, by: str = "_file", row: str = "_row") -> DataFrame:
-    """(file, sorted_ of every orderable column): no value is below the last one before it; nulls are skipped.
-
-    A window group is one fragment, whose size is bounded by the writer.
+def _below(a: pa.Array, b: pa.Array) -> bool:
+    """Whether any value of ``a`` is below its neighbour in ``b``, in Spark's order: NaN is above all others."""
+    if pa.types.is_floating(a.type):
+        x, y = a.to_numpy(zero_copy_only=False), b.to_numpy(zero_copy_only=False)
+        return bool(((x < y) | (np.isnan(y) & ~np.isnan(x))).any())
+    if pa.types.is_boolean(a.type):
+        a, b = a.cast(pa.int8()), b.cast(pa.int8())
+    return bool(pc.any(pc.less(a, b)).as_py())
+
+
+def _ends(a: pa.Array) -> tuple[pa.Array, pa.Array]:
+    """Smallest and largest value, in Spark's order, as arrays of one."""
+    if pa.types.is_floating(a.type):
+        x = a.to_numpy(zero_copy_only=False)
+        low = np.nanmin(x) if not np.isnan(x).all() else np.nan
+        return pa.array([low], a.type), pa.array([x.max()], a.type)
+    found = pc.min_max(a)
+    return pa.array([found["min"].as_py()], a.type), pa.array([found["max"].as_py()], a.type)
+
+
+class _Run:
+    """Statistics of consecutive rows of a file."""
+
+    def __init__(self, file: str, part: str, start: int, columns: list[str]):
+        self.file, self.part, self.start, self.rows = file, part, start, 0
+        self.nulls, self.below = dict.fromkeys(columns, 0), dict.fromkeys(columns, False)
+        self.ends: dict[str, tuple[pa.Array, pa.Array, pa.Array, pa.Array]] = {}
+
+    def add(self, batch: pa.RecordBatch, ordered: set[str]) -> None:
+        self.rows += batch.num_rows
+        for c in self.nulls:
+            column = batch.column(c)
+            self.nulls[c] += column.null_count
+            if c not in ordered or column.null_count == len(column):
+                continue
+            own = column.drop_null()
+            low, high = _ends(own)
+            before = self.ends.get(c)
+            first, last = own.take(pa.array([0])), own.take(pa.array([len(own) - 1]))
+            self.below[c] |= _below(own.slice(1), own.slice(0, len(own) - 1)) or before is not None and _below(first, before[3])
+            if before is not None:
+                low, high, first = _ends(pa.concat_arrays([low, before[0]]))[0], _ends(pa.concat_arrays([high, before[1]]))[1], before[2]
+            self.ends[c] = (low, high, first, last)
+
+    def row(self, schema: pa.Schema, ordered: list[str]) -> pa.RecordBatch:
+        names, made = ["_file", "_part", "_start", "_rows"], [pa.array([x]) for x in (self.file, self.part)] + [pa.array([x], pa.int64()) for x in (self.start, self.rows)]
+        for c in self.nulls:
+            names.append(f"nulls_{c}")
+            made.append(pa.array([self.nulls[c]], pa.int64()))
+        for c in ordered:
+            names += [f"{x}_{c}" for x in ("min", "max", "first", "last", "below")]
+            made += [*(self.ends.get(c) or [pa.nulls(1, schema.field(c).type)] * 4), pa.array([self.below[c]])]
+        return pa.RecordBatch.from_arrays(made, names)
+
+
+def run_stats(df: DataFrame, columns: list[str]) -> DataFrame:
+    """One row for each run of rows that a task reads from a file (_file, its last two names, by _row): counts, ends of every column, and whether its order is broken.
+
+    Rows stay where they are read; only these rows go further.
     """
-    columns = [f.name for f in df.schema if orderable(f.dataType) and f.name not in (by, row)]
-    before = Window.partitionBy(by).orderBy(row).rowsBetween(Window.unboundedPreceding, -1)
-    marked = df.select(by, *[(F.col(c) < F.last(c, ignorenulls=True).over(before)).alias(c) for c in columns])
-    return marked.groupBy(by).agg(*[(F.count_if(F.col(c)) == 0).alias(f"sorted_{c}") for c in columns])
+    ordered = [c for c in columns if orderable(df.schema[c].dataType)]
+    prepare(df.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            at, file = batch.column("_row").to_numpy(), batch.column("_file")
+            new = (at[1:] != at[:-1] + 1) | pc.not_equal(file.slice(1), file.slice(0, len(file) - 1)).to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero(new) + 1).tolist(), batch.num_rows]
+            for a, b in zip(cuts, cuts[1:]):
+                above, name = f"/{file[a].as_py()}".rsplit("/", 2)[-2:]
+                key = (above, name) if above.endswith(".parquet") else (name, "")  # a folder's files are x.parquet/part-...
+                if now is None or key != (now.file, now.part) or int(at[a]) != now.start + now.rows:
+                    if now is not None:
+                        yield now.row(batch.schema, ordered)
+                    now = _Run(*key, int(at[a]), columns)
+                now.add(batch.slice(a, b - a), set(ordered))
+            schema = batch.schema
+        if now is not None:
+            yield now.row(schema, ordered)
+
+    fields = [T.StructField("_file", T.StringType()), T.StructField("_part", T.StringType()), *(T.StructField(x, T.LongType()) for x in ("_start", "_rows", *(f"nulls_{c}" for c in columns)))]
+    for c in ordered:
+        fields += [T.StructField(f"{x}_{c}", df.schema[c].dataType) for x in ("min", "max", "first", "last")] + [T.StructField(f"below_{c}", T.BooleanType())]
+    return df.mapInArrow(run, T.StructType(fields))
+
+
+def fragment_stats(runs: DataFrame) -> DataFrame:
+    """(_file, row_count, then nulls_, min_, max_ and sorted_ of every column) by fragment; sorted: no value is below the last one before it, nulls are skipped."""
+    ordered = [c.removeprefix("below_") for c in runs.columns if c.startswith("below_")]
+    before = Window.partitionBy("_file").orderBy("_part", "_start").rowsBetween(Window.unboundedPreceding, -1)
+    marked = runs.withColumns({f"below_{c}": F.col(f"below_{c}") | F.coalesce(F.col(f"first_{c}") < F.last(f"last_{c}", ignorenulls=True).over(before), F.lit(False)) for c in ordered})
+    found = [F.sum("_rows").alias("row_count"), *(F.sum(c).alias(c) for c in runs.columns if c.startswith("nulls_"))]
+    for c in ordered:
+        found += [F.min(f"min_{c}").alias(f"min_{c}"), F.max(f"max_{c}").alias(f"max_{c}"), (F.count_if(f"below_{c}") == 0).alias(f"sorted_{c}")]
+    return marked.groupBy("_file").agg(*found)
 
 
 def of_files(spark: SparkSession, schema: T.StructType, paths: list[str]) -> dict[str, dict]:
-    """file name -> {"row_count", "columns": {name: statistics}} of new fragments; one row a file reaches the driver."""
+    """Name of a file or folder -> {"row_count", "columns": {name: statistics}} of new fragments; one row each reaches the driver."""
     read = spark.read.schema(schema).parquet(*paths)
-    read = read.select("*", F.regexp_extract("_metadata.file_path", "[^/]+$", 0).alias("_file"), F.col("_metadata.row_index").alias("_row"))
-    stats, flags = fragment_stats(read), sorted_flags(read)
+    # A regular expression over the path of every row cost more than all else.
+    read = read.select("*", F.substring_index("_metadata.file_path", "/", -2).alias("_file"), F.col("_metadata.row_index").alias("_row"))
     out = {}
-    for r in stats.join(flags, "_file").collect():
+    for r in fragment_stats(run_stats(read, schema.names)).collect():
         r = r.asDict()
         columns = {}
         for f in schema:

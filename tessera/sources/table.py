@@ -6,6 +6,7 @@ import uuid
 import warnings
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schema as S
@@ -14,17 +15,26 @@ from .config import WriteConfig
 from .stats import of_files
 
 
-def write_fragments(catalog: Catalog, df: DataFrame, schema: T.StructType, config: WriteConfig) -> list[Fragment]:
-    """Every output file of ``df`` becomes a fragment: executors write them, the driver moves names and gets one row of statistics each."""
+#: Rows that one task writes as one file; a larger fragment is a folder of files in the order of their names.
+FILE_ROWS = 1 << 20
+
+
+def write_fragments(catalog: Catalog, df: DataFrame, schema: T.StructType, config: WriteConfig, whole: bool = False) -> list[Fragment]:
+    """Every output file of ``df`` becomes a fragment, or with ``whole`` all of them one: executors write them, the driver moves names and gets one row of statistics each."""
     files, temporary = catalog.files, f"data/_tmp-{uuid.uuid4().hex}"
     df.write.options(**config.options()).parquet(f"{catalog.path}/{temporary}")
     places = {}
-    for name in files.names(temporary):
-        if name.endswith(".parquet"):
+    written = [name for name in files.names(temporary) if name.endswith(".parquet")]
+    if whole and len(written) > 1:
+        fragment = uuid.uuid4().hex
+        files.move(temporary, f"data/{fragment}.parquet")
+        places[f"{fragment}.parquet"] = fragment
+    else:
+        for name in written:
             fragment = uuid.uuid4().hex
             files.move(f"{temporary}/{name}", f"data/{fragment}.parquet")
             places[f"{fragment}.parquet"] = fragment
-    files.delete(temporary)
+        files.delete(temporary)
     if not places:
         return []
     found = of_files(catalog.spark, schema, [f"{catalog.path}/data/{n}" for n in places])
@@ -49,8 +59,8 @@ class Writer:
     def write(self, df: DataFrame, check: bool = True) -> "Writer":
         """Add rows whose schema equals the table's."""
         S.require_equal(self.schema, df.schema)
-        rows = df.count()
-        if check and rows and df.where(S.violations(self.schema)).limit(1).count():
+        rows, broken = df.agg(F.count("*"), F.count(F.when(S.violations(self.schema), 1)) if check else F.lit(0)).first()
+        if broken:
             raise ValueError("rows break a NOT NULL or a vector dimension")
         self.pending.append(df)
         self.buffered_rows += rows
@@ -67,8 +77,9 @@ class Writer:
         for more in self.pending[1:]:
             df = df.unionByName(more)
         pieces = -(-self.buffered_rows // self.config.max_buffer_rows)
-        df = df.coalesce(1) if pieces == 1 else df.repartition(pieces)
-        new = write_fragments(self.catalog, df, self.schema, self.config)
+        large = pieces == 1 and self.buffered_rows > FILE_ROWS  # as many tasks write it as there are partitions, and their order stays
+        df = df.repartition(pieces) if pieces > 1 else df if large else df.coalesce(1)
+        new = write_fragments(self.catalog, df, self.schema, self.config, whole=large)
         self.catalog.add_fragments(self.table, new)
         self.pending, self.buffered_rows = [], 0
         return new
