@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .hierarchy import assign_parents
+from .hierarchy import with_parents
 from .splitters import Splitter
 
 EMBEDDING = 384
@@ -35,7 +35,7 @@ class Pipeline:
         chunks = self.splitter.split(docs)
         if self.hierarchy:
             placed = chunks.withColumn("position", F.col("level") * F.lit(1 << 20) + F.col("chunk_index"))
-            chunks = chunks.join(assign_parents(placed).withColumnRenamed("parent_id", "parent_chunk_id"), ["doc_id", "id"])
+            chunks = with_parents(placed, name="parent_chunk_id").drop("position")
         if self.embed is not None:
             chunks = chunks.withColumn("embedding", self.embed(F.col("content")))
         return chunks

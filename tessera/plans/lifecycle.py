@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..operators import evaluation, hierarchy, ivfpq, knn, metadata_index, splitters, text_metadata
-from ..operators.worker import shared_dir
+from ..operators.worker import materialise, shared_dir
 from ..sources import Catalog, WriteConfig
 from ..sources import pruning as P
 from ..streaming import events
@@ -204,25 +204,24 @@ _RECURSIVE = f"WITH RECURSIVE {_PARENTS}"
 
 @query(f"{_RECURSIVE} SELECT id, ancestor, depth FROM w")
 def chunk_ancestors(s, d):
-    return hierarchy.ancestors(hierarchy.assign_parents(engine._chunks(s, d)))
+    return hierarchy.chunk_ancestors(engine._chunks(s, d))
 
 
 @query(f"{_RECURSIVE} SELECT c.id, CAST(COALESCE(MAX(depth), 0) AS INTEGER) AS depth FROM c LEFT JOIN w ON w.id = c.id GROUP BY c.id")
 def chunk_depths(s, d):
-    return hierarchy.depths(hierarchy.assign_parents(engine._chunks(s, d)))
+    return hierarchy.chunk_depths(engine._chunks(s, d))
 
 
 @query(f"{_RECURSIVE} SELECT w.id, w.depth FROM w WHERE ancestor = (SELECT MIN(ancestor) FROM w)")
 def chunk_descendants(s, d):
-    edges = hierarchy.assign_parents(engine._chunks(s, d))
-    root = hierarchy.ancestors(edges).agg(F.min("ancestor")).first()[0]
+    edges = materialise(hierarchy.assign_parents(engine._chunks(s, d)))
+    root = edges.agg(F.min("parent_id")).first()[0]  # every ancestor is some chunk's parent
     return hierarchy.descendants(edges, root)
 
 
 @query(f"{_RECURSIVE}, n AS (SELECT parent_id AS id, COUNT(*) AS k FROM e2 GROUP BY parent_id) SELECT c.id, CASE WHEN e2.parent_id IS NULL AND k IS NULL THEN c.content ELSE concat_ws(chr(10), 'Parent context: ' || SUBSTR(p.content, 1, 200), 'Child chunks: ' || k) || chr(10) || chr(10) || c.content END AS context FROM c LEFT JOIN e2 ON e2.id = c.id LEFT JOIN c p ON p.id = e2.parent_id LEFT JOIN n ON n.id = c.id")
 def chunk_context(s, d):
-    chunks = engine._chunks(s, d)
-    return hierarchy.context(chunks, hierarchy.assign_parents(chunks))
+    return hierarchy.chunk_context(engine._chunks(s, d))
 
 
 @query(f"WITH {engine._CHUNKS} SELECT a.doc_id, a.id, b.id AS parent_id, ROUND(strlen(a.content) / CAST(strlen(b.content) AS DOUBLE), 6) AS score FROM c a JOIN c b ON a.doc_id = b.doc_id AND strlen(a.content) <= strlen(b.content) AND contains(b.content, a.content)")
