@@ -17,7 +17,8 @@ EMBEDDING = 384
 def mock_embedding(text: Column, dim: int = EMBEDDING) -> Column:
     """``dim`` values tanh(bytes * sin(i) * 0.01); a stand-in for a model, kept in the JVM."""
     n = F.octet_length(text)
-    return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.tanh(n * F.sin(i.cast("double")) * 0.01).cast("float"))
+    waves = F.array(*[F.sin(F.lit(float(i))) for i in range(dim)])  # the same for every text: folded once
+    return F.transform(waves, lambda wave: F.tanh(n * wave * 0.01).cast("float"))
 
 
 @dataclass
